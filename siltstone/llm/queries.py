@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.distinctive import current_records, distinctive_terms
 from siltstone.llm.frequency import current_postings, term_frequencies
 from siltstone.llm.fusion import fused_ranking
-from siltstone.llm.mixing import mix
+from siltstone.llm.mixing import mix, normal_source
+from siltstone.llm.neighbours import current_vectors, nearest
 from siltstone.llm.packing import pack
+from siltstone.llm.sentences import sentences
 from siltstone.llm.splitting import split_oversized
 from siltstone.llm.topn import top_n_per_group
 from siltstone.session import load
@@ -21,6 +23,11 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return top_n_per_group(load(spark, root, "vector_hits"), load(spark, root, "search_queries")).select("query_id", "chunk_id")
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    near = nearest(current_vectors(load(spark, root, "vector_records")), least=0.85)
+    return near.select(F.least("chunk_id", "other").alias("chunk_id_a"), F.greatest("chunk_id", "other").alias("chunk_id_b")).distinct()
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     valid = current_postings(load(spark, root, "postings")).where("token_id is not null and token_id <> 0")
     return term_frequencies(valid, "token_id", "chunk_id", "term_frequency", unique=True).where("mark is not null").select(F.col("term").alias("token_id"), "mark")
@@ -71,6 +78,11 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mix(load(spark, root, "documents"), load(spark, root, "mix_targets"), topics)[1]
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    docs = load(spark, root, "documents").where(normal_source(F.col("source")).isin("field-notes", "interviews", "translations"))
+    return sentences(docs).select("doc_id", "sent_start", "sent_end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
@@ -106,6 +118,13 @@ h AS (SELECT query_id, chunk_id, max(score) AS score FROM vector_hits
   WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2),
 r AS (SELECT query_id, chunk_id, n, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM h JOIN q USING (query_id))
 SELECT query_id, chunk_id FROM r WHERE place <= n""",
+        "p3_found": """
+WITH top AS (SELECT chunk_id, max(generation) AS generation FROM vector_records WHERE chunk_id IS NOT NULL GROUP BY 1),
+v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM vector_records JOIN top USING (chunk_id, generation)
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS p FROM s)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE p <= 5 AND c > 0.85""",
         "p4_found": SQL_P4 + "SELECT token_id, CASE WHEN records < 3 THEN 'rare' ELSE 'common' END AS mark FROM per, n WHERE records < 3 OR records * 4 > n",
         "p4_counts": SQL_P4 + "SELECT token_id, row_number() OVER (ORDER BY token_id) - 1 AS term_code, occurrences, records FROM per",
         "p5_found": r"""
