@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.distinctive import current_records, distinctive_terms
 from siltstone.llm.frequency import current_postings, term_frequencies
 from siltstone.llm.fusion import fused_ranking
+from siltstone.llm.markup import clean_markup
 from siltstone.llm.mixing import mix, normal_source
 from siltstone.llm.neighbours import current_vectors, nearest
 from siltstone.llm.packing import pack
@@ -19,6 +20,10 @@ from siltstone.llm.topn import top_n_per_group
 from siltstone.session import load
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return clean_markup(load(spark, root, "documents")).select("doc_id", F.explode("elements").alias("element"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return top_n_per_group(load(spark, root, "vector_hits"), load(spark, root, "search_queries")).select("query_id", "chunk_id")
 
