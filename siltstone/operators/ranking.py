@@ -52,19 +52,17 @@ def boolean_match(counts: DataFrame, clauses: DataFrame) -> DataFrame:
 def fuzzy_terms(vocabulary: DataFrame, terms: DataFrame, distance: int = 1) -> DataFrame:
     """(asked, term, distance): vocabulary terms within a Levenshtein distance of asked ones.
 
-    Candidates share a deletion variant (the term with up to ``distance`` characters left out), which any two terms
-    within the distance do; only these are compared.
+    An asked term is cut into distance + 1 pieces, of which a term within the distance has one unchanged, shifted by
+    no more than the distance; only such pairs, of lengths that differ no more either, are compared. The pieces of a
+    term are as many as the distance says, however long it is.
     """
-
-    def variants(df: DataFrame, column: str) -> DataFrame:
-        out = df.select(F.col(column), F.col(column).alias("variant"))
-        level = out
-        for _ in range(distance):
-            level = level.where(F.length("variant") > 0).select(column, F.explode(F.transform(F.sequence(F.lit(1), F.length("variant")), lambda i: F.concat(F.substring("variant", F.lit(1), i - 1), F.substring(F.col("variant"), i + 1, F.length("variant"))))).alias("variant")).distinct()
-            out = out.unionByName(level)
-        return out.distinct()
-
-    pairs = variants(terms.select(F.col("term").alias("asked")).distinct(), "asked").join(variants(vocabulary.select("term").distinct(), "term"), "variant").select("asked", "term").distinct()
+    parts = F.sequence(F.lit(0), F.lit(distance))
+    shifts = F.sequence(F.lit(-distance), F.lit(distance))
+    start, end = F.floor(F.col("k") * F.col("n") / (distance + 1)).cast("int"), F.floor((F.col("k") + 1) * F.col("n") / (distance + 1)).cast("int")
+    own = terms.select(F.col("term").alias("asked")).distinct().select("asked", F.length("asked").alias("n"), F.explode(parts).alias("k")).select("asked", "n", "k", F.substring(F.col("asked"), start + 1, end - start).alias("piece"))
+    known = vocabulary.select("term").distinct().select("term", F.explode(F.transform(shifts, lambda d: F.length("term") + d)).alias("n")).where("n > 0").select("term", "n", F.explode(parts).alias("k"))
+    known = known.select("term", "n", "k", F.explode(shifts).alias("s")).where((start + F.col("s") >= 0) & (end + F.col("s") <= F.length("term"))).select("term", "n", "k", F.substring(F.col("term"), start + F.col("s") + 1, end - start).alias("piece"))
+    pairs = own.join(known, ["n", "k", "piece"]).select("asked", "term").distinct()
     return pairs.withColumn("distance", F.levenshtein("asked", "term")).where(F.col("distance") <= distance)
 
 

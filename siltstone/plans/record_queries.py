@@ -14,7 +14,7 @@ from siltstone.streaming.upserts import windowed_counts
 
 
 def latest_vector_records(spark, root):
-    rows = load(spark, root, "vector_records").select("chunk_id", "generation", "model_id", F.size("embedding").alias("width"))
+    rows = load(spark, root, "vector_records").select("chunk_id", "generation", "model_id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("width"))
     return I.latest_generation(rows, "chunk_id").select("chunk_id", "generation", "model_id", "width").distinct()
 
 
@@ -64,7 +64,7 @@ def erased_resources(spark, root):
 def metadata_filtered_chunks(spark, root):
     """How many chunks each distinct set of filters lets through."""
     sets = load(spark, root, "search_queries").where("metadata_filters is not null").select("metadata_filters").distinct()
-    chunks = load(spark, root, "chunks").groupBy("metadata").agg(F.countDistinct("chunk_id").alias("n")) if False else load(spark, root, "chunks").select(F.col("metadata")["topic"].alias("topic"), F.col("metadata")["facet"].alias("facet"), "chunk_id").groupBy("topic", "facet").agg(F.countDistinct("chunk_id").alias("n"))
+    chunks = load(spark, root, "chunks").select(F.col("metadata")["topic"].alias("topic"), F.col("metadata")["facet"].alias("facet"), "chunk_id").groupBy("topic", "facet").agg(F.countDistinct("chunk_id").alias("n"))
     # distinct metadata against distinct filters: both sides are as small as their values are few
     rebuilt = chunks.withColumn("metadata", F.map_filter(F.create_map(F.lit("topic"), F.col("topic"), F.lit("facet"), F.col("facet")), lambda k, v: v.isNotNull()))
     hits = sets.crossJoin(rebuilt).where(metadata_match(F.col("metadata"), F.col("metadata_filters")))
