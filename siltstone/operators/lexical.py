@@ -115,7 +115,8 @@ def phrase_matches(positions: DataFrame, query_terms: DataFrame, slack: int = 0)
     ``query_terms`` is (query, place, term). Each step joins on document and shifts, so the rows never exceed the
     positions of the phrase's first term that are still alive, times the slack.
     """
-    spread = positions.select("doc", "term", F.explode("positions").alias("at"))
+    asked = query_terms.select("term").distinct()
+    spread = positions.join(asked, "term", "left_semi").select("doc", "term", F.explode("positions").alias("at"))
     terms = query_terms.groupBy("query").agg(F.expr("transform(array_sort(collect_list(struct(place, term))), x -> x.term)").alias("terms"))
     wanted = query_terms.join(spread, "term").select("query", "place", "doc", "at")
     start = wanted.select("query", "doc", (F.col("at") - F.col("place")).alias("start"), "place")

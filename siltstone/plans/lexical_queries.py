@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import bow_tokens, space_terms, standard_runs, standard_tokens
 from siltstone.operators import lexical as L
 from siltstone.operators import ranking as R
-from siltstone.session import load
+from siltstone.session import load, spread
 
 UP, LOW = string.ascii_uppercase, string.ascii_lowercase
 K = 10
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    return load(spark, root, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text", "lang", "source")
+    return spread(load(spark, root, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text", "lang", "source"))
 
 
 def asked(spark: SparkSession, root: str) -> DataFrame:

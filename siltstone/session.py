@@ -50,6 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a table's few files would leave some idle; larger tables stay as they are read.
+
+    At most one scan partition per core is moved, so the shuffle has a bound that doesn't grow with the table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """The number of reduce tasks that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
