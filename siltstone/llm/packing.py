@@ -19,8 +19,9 @@ VIEW = 4096
 class HarmonicPacker:
     """Packs (item, size) pairs, sizes at most the capacity; emits (bin, item index) as soon as they are known.
 
-    Class k < CLASSES holds exactly k items per bin. A finished bin with space left stays in view, and items of the
-    last class go into the bin in view that they fill best, else into an open bin of their own.
+    Class k < CLASSES holds exactly k items per bin, the last class as many as fit. A finished bin with space left
+    stays in view, and an item of any class but the first goes into the bin in view that it fills best, where there
+    is one, before a bin of its class.
     """
 
     def __init__(self, capacity: int, name: str):
@@ -30,7 +31,7 @@ class HarmonicPacker:
 
     def place(self, size: int) -> str:
         k = CLASSES if size <= 0 else min(CLASSES, self.capacity // size)
-        if k == CLASSES:
+        if k > 1:
             at = bisect_left(self.view, (size, -1))
             if at < len(self.view):
                 space, bin_ = self.view.pop(at)
