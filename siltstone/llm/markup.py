@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.session import spread
+
 ELEMENTS = ("heading", "list", "table", "code", "formula", "other")
 
 # Names that HTML, MediaWiki and LaTeX give their structures.
@@ -93,13 +95,13 @@ LINES = (
     ("divider", regex.compile(r"[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$|[ ]{0,3}\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*$")),
     ("row", regex.compile(r"[ ]{0,3}\|.*\|[ \t]*$")),
     ("item", regex.compile(r"[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+\S")),
-    ("wikiitem", regex.compile(r"[*#]+[^\s*#!].*$|[*#]{2,}[ ].*$|;[ ].*$|:+[ ]\S.*$")),
+    ("wikiitem", regex.compile(r"(?!#(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|error)\b)[*#]+[^\s*#!].*$|[*#]{2,}[ ].*$|;[ ].*$|:+[ ]\S.*$")),
     ("quote", regex.compile(r"[ ]{0,3}>[ ]?")),
 )
 LOG = regex.compile(r"<\d+>\d{4}-|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\d+;\w+;|\w+=\S+[ \t]{2,}\w+")
 JSON = regex.compile(r'[ \t]*(?:\{\s*"|\[\s*[{"]|\[\s*\[\s*[-\d"])')
 CODE = regex.compile(
-    r"""\#!|\#include\b|//|(?:def|class|return|import|from|export|for|if|while|print|test|awk|template|const|static_assert|assert|public|private|void|int|auto|let|var|func|fn)\b[^.]*(?:[;:{}()]|=[^=]|\$\w)[^.]*|(?!.*(?:\\[A-Za-z]+\{|&\#?\w+;))[^.!?…。？！।۔؟]*[;{}][ \t]*$|[\w.]+(?:\[\w+\])?[ \t]*(?:[|+\-*/]?=)[ \t]*\S.*|.*(?:::|->|&&|\|\||<<|==|<=)[^\s.]*.*[\w)\]};]$|"{3}.*"{3}$|if[ ].*:$|assert\b.*""",
+    r"""\#!|\#include\b|//|(?:def|class|return|import|from|export|for|if|while|print|test|awk|template|const|static_assert|assert|public|private|void|int|auto|let|var|func|fn)\b[^.]*(?:[;:{}()]|=[^=]|\$\w)[^.]*|(?!.*(?:\\[A-Za-z]+\{|&\#?\w+;|\{\{|\[\[[^\W\d]|'''))[^.!?…。？！।۔؟]*[;{}][ \t]*$|[\w.]+(?:\[\w+\])?[ \t]*(?:[|+\-*/]?=)[ \t]*\S.*|.*(?:::|->|&&|\|\||<<|==|<=)[^\s.]*.*[\w)\]};]$|"{3}.*"{3}$|if[ ].*:$|assert\b.*""",
     regex.X,
 )
 PROSE_END = regex.compile(r"[.!?…。！？।۔؟][\"'”’»)\]]*\s*$")
@@ -301,8 +303,10 @@ class Document:
         for a, b, kind in lexer.opaque:
             self._span(a, b, kind)
         self.bare: list[tuple[int, int]] = []  # lines of code or logs without marks
+        self.list_before = False
         for segment in lexer.segments():
             self._segment([lexer.lines[k] for k in segment])
+            self.list_before = lexer.lines[segment[-1]][2] in ("item", "wikiitem")
         covered = [(a, b) for a, b, _ in lexer.opaque]
         self._inline(covered)
 
@@ -338,7 +342,7 @@ class Document:
     def _segment(self, lines: list[tuple[int, int, str]]) -> None:
         kinds = [k for _, _, k in lines]
         # a beginning counts as structure where it opens the segment or follows other structure, never after prose
-        if "indent" in kinds and all(k == "indent" for k in kinds):
+        if all(k in ("indent", "item") for k in kinds) and not (self.list_before and "item" in kinds) and all(regex.match(r"[ ]{4}|\t", self.text[a:b]) for a, b, _ in lines):
             if self.rules.structural("indent"):
                 self.found.add("code")
                 self.edits += [(lines[0][0], lines[0][0], "```\n"), (lines[-1][1], lines[-1][1], "\n```")]
@@ -526,7 +530,7 @@ def wrappers(documents: DataFrame, text: str = "text", uri: str = "source_uri")
     so that its length is bounded); these are merged by eight salts first, then into one, and so however many rows a
     host has.
     """
-    narrow = documents.select(host_of(F.col(uri)).alias("host"), F.col(text).alias("text")).where("text is not null")
+    narrow = spread(documents.select(host_of(F.col(uri)).alias("host"), F.col(text).alias("text")).where("text is not null"))
     own = narrow.mapInArrow(_induce, WRAPPER)
     salted = own.withColumn("salt", F.pmod(F.hash("wrapper"), F.lit(8)))
     part = salted.groupBy("host", "opener", "salt").applyInArrow(_merge, WRAPPER)
@@ -553,7 +557,7 @@ def clean_markup(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     induced = induced if induced is not None else wrappers(documents, text, uri)
     # what a document needs of its host: the openers that are no markup there
     rules = induced.mapInArrow(_rule_task, "host string, opener string").groupBy("host").agg(F.concat_ws(" ", F.array_sort(F.collect_set("opener"))).alias("plain"))
-    narrow = documents.select(F.col(doc).alias("doc"), host_of(F.col(uri)).alias("host"), F.col(text).alias("text"))
+    narrow = spread(documents.select(F.col(doc).alias("doc"), host_of(F.col(uri)).alias("host"), F.col(text).alias("text")))
     joined = narrow.join(rules, "host", "left").select("doc", "text", F.coalesce("plain", F.lit("")).alias("plain"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
