@@ -7,6 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.offsets import token_offsets
 from siltstone.functions.text import bow_tokens, space_terms, standard_runs, standard_tokens
 from siltstone.operators import lexical as L
 from siltstone.operators import ranking as R
@@ -174,7 +175,12 @@ def context_budget(spark, root):
     return R.within_budget(bm25_topk(spark, root).join(sizes, "doc"), "query", [F.col("rank")], "size", 4000).select("query", "doc", "rank", "used")
 
 
-QUERIES = {f.__name__: f for f in (bow_tokenize_counts, vocabulary_df, token_dictionary, postings_positions, corpus_stats_oov, bm25_topk, bm25_own_parameters, bm25_filtered_lang, bm25_metadata_filters, keyword_overlap_topk, bow_cosine_topk, standard_token_kinds, standard_tokenize_counts, standard_bm25_topk, hybrid_search, phrase_search, near_search, boolean_search, fuzzy_vocabulary, chunk_windows, heading_sections, context_budget)}
+def token_ranges(spark, root):
+    """Runs by kind, and what they cover in bytes."""
+    return token_offsets(documents(spark, root), "doc", "text").groupBy("kind").agg(F.count("*").alias("tokens"), F.sum("byte_length").alias("bytes"))
+
+
+QUERIES = {f.__name__: f for f in (bow_tokenize_counts, vocabulary_df, token_dictionary, postings_positions, corpus_stats_oov, bm25_topk, bm25_own_parameters, bm25_filtered_lang, bm25_metadata_filters, keyword_overlap_topk, bow_cosine_topk, standard_token_kinds, standard_tokenize_counts, standard_bm25_topk, hybrid_search, phrase_search, near_search, boolean_search, fuzzy_vocabulary, chunk_windows, heading_sections, context_budget, token_ranges)}
 
 
 def _bow(text: str) -> str:
@@ -255,6 +261,7 @@ qn AS (SELECT query, sqrt(sum(tf * tf)) AS qn FROM qc GROUP BY 1), dn AS (SELECT
 h AS (SELECT query, doc, sum((qc.tf / qn) * (c.tf / dn)) AS score FROM qc JOIN qn USING (query) JOIN c USING (term) JOIN dn USING (doc) GROUP BY ALL),
 sc AS (SELECT query, doc, coalesce(round(score, 6), 0) AS score FROM (SELECT query FROM qn) CROSS JOIN (SELECT doc FROM s) LEFT JOIN h USING (query, doc)), {RANKED} SELECT query, doc, score, rank FROM r WHERE rank <= 10""",
     "standard_token_kinds": f"WITH {_standard('documents', 'st', 'doc_id')} SELECT kind, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens FROM st3 GROUP BY 1",
+    "token_ranges": f"WITH {_standard('documents', 'st', 'doc_id')} SELECT kind, count(*) AS tokens, sum(octet_length(encode(token)))::BIGINT AS bytes FROM st3 GROUP BY 1",
     "standard_tokenize_counts": f"WITH {_standard('documents', 'st', 'doc_id::VARCHAR')} SELECT doc_id::VARCHAR AS doc, coalesce(n, 0) AS tokens, coalesce(u, 0) AS distinct_tokens FROM documents LEFT JOIN (SELECT k, count(*) AS n, count(DISTINCT token) AS u FROM st GROUP BY 1) ON k = doc_id::VARCHAR WHERE text IS NOT NULL",
     "standard_bm25_topk": _sql_bm25(base=STANDARD_BASE),
     "hybrid_search": _sql_bm25(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.vector import dot, finite, negative_squared_l2, squared_norm
 from siltstone.operators import evaluation as E
+from siltstone.operators import probing as P
 from siltstone.operators import quantize as Q
 from siltstone.operators import signatures as S
 from siltstone.operators import vectors as V
@@ -185,6 +186,58 @@ def autoencoder_topk(spark, root):
     return _encoded(lambda: S.autoencoder(np.eye(WIDTH), np.zeros(WIDTH)), False)(spark, root)
 
 
+def weighted_hamming_topk(spark, root):
+    """Bits weigh 1, 2, 1, 2, ...; the queries against the rows that eight bands propose."""
+    found = S.band_candidates(signs(spark, root), asked_signs(spark, root), WIDTH, 8, 8)
+    both = found.join(signs(spark, root).withColumnRenamed("id", "item"), "item").join(asked_signs(spark, root).select(F.col("id").alias("query"), F.col("words").alias("w")), "query")
+    scored = both.select("query", "item", F.round(-P.weighted_hamming(F.col("words"), F.col("w"), [1.0, 2.0] * 32), 6).alias("score"))
+    from siltstone.operators.lexical import top_k
+
+    return top_k(scored, "query", "item", "score", K)
+
+
+def budgeted_probe_counts(spark, root):
+    costs = asked(spark, root).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("costs"))
+    return P.budgeted_candidates(signs(spark, root), asked_signs(spark, root), costs, WIDTH, 40).groupBy("query").agg(F.count("*").alias("candidates"))
+
+
+def intraband_correlation(spark, root):
+    made = S.bit_correlations(signs(spark, root), WIDTH, None)
+    return P.intraband_correlation(made, [list(range(b * 8, b * 8 + 8)) for b in range(8)]).select("band", F.round("correlation", 6).alias("correlation"))
+
+
+def balanced_band_correlation(spark, root):
+    made = S.bit_correlations(signs(spark, root), WIDTH, None)
+    return P.intraband_correlation(made, P.band_layout(signs(spark, root), WIDTH, 8))
+
+
+def uncertainty_masks(spark, root):
+    return P.masked_signatures(embeddings(spark, root), "vec_id", "embedding", WIDTH).select("id", F.col("mask")[0].alias("mask"))
+
+
+def updated_aggregate_counters(spark, root):
+    """Label counters without the rows divisible by 20, which are then added, and those divisible by 30 removed."""
+    rows = _label_signs(spark, root)
+    start = S.bit_counts(rows.where("id % 20 <> 0"), WIDTH, "label")
+    changes = rows.where("id % 20 = 0").select("label", "words", F.lit(1).alias("sign")).unionByName(rows.where("id % 30 = 0").select("label", "words", F.lit(-1).alias("sign")))
+    return P.updated_counters(start, changes, WIDTH, "label").select("label", "n", F.posexplode("ones").alias("bit", "ones"))
+
+
+def routed_labels(spark, root):
+    groups = S.aggregate_signatures(_label_signs(spark, root), WIDTH, "label", "majority")
+    return P.route_groups(asked_signs(spark, root), groups, "label", 1, 3)
+
+
+def stable_split(spark, root):
+    return P.hash_split(embeddings(spark, root).select("vec_id"), "vec_id", "salt", 0.2).select("vec_id", "held_out")
+
+
+def sparse_signature_words(spark, root):
+    """Signatures from single components; those of the whole vectors must be the same."""
+    values = embeddings(spark, root).select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("index", "value"))
+    return P.sparse_signatures(values, np.eye(WIDTH)).select("id", F.col("words")[0].alias("word"))
+
+
 QUERIES = {
     "cosine_topk": _exact("cosine"),
     "dot_topk": _exact("dot"),
@@ -199,7 +252,7 @@ QUERIES = {
     "hadamard_topk": _encoded(lambda: S.randomized_hadamard(256, WIDTH), False),
     "pca_topk": _encoded(lambda x: S.pca(x, WIDTH), True),
     "pair_difference_topk": _encoded(lambda x: S.pair_differences(x, 128), True),
-    **{f.__name__: f for f in (itq_cascade, pq_topk, opq_topk, autoencoder_topk)},
+    **{f.__name__: f for f in (itq_cascade, pq_topk, opq_topk, autoencoder_topk, weighted_hamming_topk, budgeted_probe_counts, intraband_correlation, balanced_band_correlation, uncertainty_masks, updated_aggregate_counters, routed_labels, stable_split, sparse_signature_words)},
 }
 
 BASE = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -266,6 +319,16 @@ SELECT query, count(*) AS candidates, count(*) FILTER (gap <= 12) AS near FROM c
     "cosine_hamming_correlation": _top(COSINE) + f", z AS (SELECT id, {WORD} AS word FROM e) SELECT round(corr(score, -bit_count(xor(x.word, y.word))), 6) AS pearson FROM r JOIN z x ON x.id = r.item JOIN z y ON y.id = r.query WHERE rank <= 10",
     "scalar_code_entropy": CODES + ", n AS (SELECT dim, code, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT dim, n / sum(n) OVER (PARTITION BY dim) AS p FROM n) SELECT dim, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY 1",
     "scalar_code_centers": CODES + " SELECT dim, code, round(avg(x), 6) AS center, count(*) AS n FROM c GROUP BY ALL",
+    "weighted_hamming_topk": SIGNS + f""", t AS (SELECT unnest(range(0, 8)) AS band),
+c AS (SELECT DISTINCT query, s.id AS item, xor(word, qword) AS x FROM a, s, t WHERE query <> s.id AND bit_count(((xor(word, qword) >> (band * 8)) & 255)::BIGINT) <= CASE WHEN band <= 0 THEN 1 ELSE 0 END),
+sc AS (SELECT query, item, round(-(bit_count(x & 6148914691236517205) * (2 / 3::DOUBLE) + bit_count(x & -6148914691236517206) * (4 / 3::DOUBLE)), 6) AS score FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM sc) SELECT query, item, score, rank FROM r WHERE rank <= 10""",
+    "intraband_correlation": CORR + " SELECT (a // 8)::INT AS band, round(avg(abs(c)), 6) AS correlation FROM k WHERE a // 8 = b // 8 GROUP BY 1",
+    "uncertainty_masks": BASE + ", x AS (SELECT id, generate_subscripts(v, 1) - 1 AS bit, unnest(v) AS x FROM e), u AS (SELECT bit, quantile_disc(abs(x), 0.5) AS cut FROM x GROUP BY 1), g AS (SELECT id, bit, abs(x) > cut AS on_ FROM x JOIN u USING (bit)) SELECT id, " + BITWORD + " AS mask FROM g GROUP BY 1",
+    "updated_aggregate_counters": BITS + " SELECT label, count(*) AS n, bit, sum(value)::BIGINT AS ones FROM b WHERE id % 30 <> 0 OR (id % 20 <> 0 AND id % 30 <> 0) GROUP BY label, bit",
+    "routed_labels": BITS + f", g AS (SELECT label, bit, sum(value) >= ceil(count(*) * 0.5) AS on_ FROM b GROUP BY ALL), l AS (SELECT label, {BITWORD} AS w FROM g GROUP BY 1), d AS (SELECT query, label, bit_count(xor(w, qword))::BIGINT AS distance FROM a, l) SELECT query, label, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, label) AS r FROM d) WHERE r <= 3",
+    "stable_split": "SELECT vec_id, ('0x' || sha256('salt' || chr(0) || vec_id)[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.2 AS held_out FROM embeddings",
+    "sparse_signature_words": SIGNS + " SELECT id, word FROM s",
     "ternary_planes": TERNARY + " SELECT id, nonzero, sign FROM y",
     "ternary_group_distance": TERNARY + " SELECT a.id, b.label, round(avg(bit_count(xor(a.nonzero, b.nonzero)) + 2 * bit_count(a.nonzero & b.nonzero & xor(a.sign, b.sign))), 6) AS distance FROM y a, y b WHERE a.id % 20 = 0 GROUP BY ALL",
 }
