@@ -456,6 +456,9 @@ class Document:
         elif m["head"]:
             self.found.add("heading")
             self.edits += [(a, m.start("htext"), "#" * (1 + HEADING_COMMANDS.split().index(m["level"].lower())) + " "), (m.end("htext"), b, "")]
+        elif m["bare"] and m[0][1:] in ("hline", "toprule", "midrule", "bottomrule"):
+            self.found.add("table")
+            self.edits.append((a, b, ""))
         elif m["item"]:
             self.found.add("list")
             self.edits.append((a, b, "- "))
