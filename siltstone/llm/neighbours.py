@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.topn import _heap_task
-from siltstone.session import parallelism
+from siltstone.session import cut, parallelism
 
 #: Curves, dimensions and bits a dimension of each, and the neighbours on either side that are compared. Measured
 #: against brute force, see the README; dimensions times bits must stay below 64.
@@ -157,7 +157,9 @@ def nearest(vectors: DataFrame, item: str = "chunk_id", embedding: str = "embedd
     """
     kind = vectors.schema[item].dataType
     rows = usable(vectors, embedding, width).select(F.col(item).alias("id"), F.transform(embedding, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v")).where("id is not null")
-    classes = rows.groupBy("v").agg(F.min("id").alias("g"), F.count("*").alias("n"))
+    rows = cut(rows)
+    # read by the fit, by the sampling of the ranges, by the search and for the copies
+    classes = cut(rows.groupBy("v").agg(F.min("id").alias("g"), F.count("*").alias("n")))
     # the output of the hash aggregate is in no order of the data, so its first rows do for the scale
     sample = [r["v"] for r in classes.select("v").limit(FIT_ROWS).collect()]
     index = CurveIndex(_unit(np.array(sample, np.float32)).astype(np.float32) if sample else np.empty((0, width), np.float32), width, curves)
@@ -179,7 +181,10 @@ def _with_copies(rows: DataFrame, repeated: DataFrame, best: DataFrame, item: st
         others = others.unionByName(lists.select("g", F.explode("ids").alias("other"), F.lit(1.0).alias("s")))
     # bounded: at most k classes of k + 1 members each, and the class's own
     choice = others.groupBy("g").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("m"), F.col("other")))).alias("choice"))
-    wanted = choice.join(members, "g", "left").select(F.coalesce("id", "g").alias("id"), F.col("choice"))
+    # an inner join, of which AQE may split either side: a class may hold a third of all rows
+    several = members.join(choice, "g").select("id", "choice")
+    single = choice.join(repeated.select("g"), "g", "left_anti").select(F.col("g").alias("id"), "choice")
+    wanted = several.unionByName(single)
     kept = wanted.select("id", F.slice(F.filter("choice", lambda c: c["other"] != F.col("id")), 1, k).alias("kept"))
     return kept.select("id", F.posexplode("kept").alias("at", "c")).select(F.col("id").alias(item), F.col("c.other").alias("other"), (-F.col("c.m")).alias("cosine"), (F.col("at") + 1).alias("place"))
 
