@@ -36,7 +36,7 @@ def _any(names: str) -> str:
 
 #: Spans whose inside isn't read as markup, the first that begins wins.
 OPAQUE = regex.compile(
-    rf"""(?P<fence>(?m:^[ ]{{0,3}}(?P<tick>`{{3,}}|~{{3,}})[^\n`]*\n(?:(?s:.*?)\n)??[ ]{{0,3}}(?P=tick)[ \t\r]*$))
+    rf"""(?=[`~<\\$])(?:(?P<fence>(?m:(?<=^[ ]{{0,3}})(?P<tick>`{{3,}}|~{{3,}})[^\n`]*\n(?:(?s:.*?)\n)??[ ]{{0,3}}(?P=tick)[ \t\r]*$))
     |(?P<comment><!--(?s:.*?)-->)
     |(?P<script><(?P<drop>script|style)\b[^<>]*>(?s:.*?)</(?P=drop)\s*>)
     |(?P<pre><(?P<block>pre|source|syntaxhighlight)\b[^<>]*>(?s:.*?)</(?P=block)\s*>)
@@ -48,7 +48,7 @@ OPAQUE = regex.compile(
     |(?P<paren>\\\((?:[^\n]|\n(?!\s*\n))+?\\\))
     |(?P<dollar>(?<![\\$\w])\$(?=[^\s$"'])(?=[^$\n"']*[\\^_={{}}])[^$\n"']*[^\s$\\"']\$(?![\d$\w]))
     |(?P<verb>\\verb\*?(?P<bar>[^\w\s*])[^\n]*?(?P=bar))
-    |(?P<inline>(?<!`)(?P<grave>`{{1,2}})(?!`)[^`\n]+(?<!`)(?P=grave)(?!`))
+    |(?P<inline>(?<!`)(?P<grave>`{{1,2}})(?!`)[^`\n]+(?<!`)(?P=grave)(?!`)))
     """,
     regex.X | regex.I,
 )
@@ -58,18 +58,18 @@ KINDS = {"fence": "code", "pre": "code", "verbatim": "code", "math": "formula",
 BLOCKS = {"code": "codeblock", "formula": "formula"}
 
 INLINE = regex.compile(
-    rf"""(?P<tag></?(?P<name>h[1-6]|{_any(LIST_TAGS)}|{_any(TABLE_TAGS)}|{_any(OTHER_TAGS)}|pre|syntaxhighlight|math|script|style)(?:\s[^<>]*|=[^<>\s]*)?/?>|<!DOCTYPE[^<>]*>)
+    rf"""(?=[<&\\!\[{{'*_~])(?:(?P<tag></?(?P<name>h[1-6]|{_any(LIST_TAGS)}|{_any(TABLE_TAGS)}|{_any(OTHER_TAGS)}|pre|syntaxhighlight|math|script|style)(?:\s[^<>]*|=[^<>\s]*)?/?>|<!DOCTYPE[^<>]*>)
     |(?P<escaped>&lt;/?[A-Za-z][A-Za-z0-9]*(?:\s(?:(?!&[lg]t;)[^\n])*)?/?&gt;)
     |(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{{1,30}}|\#\d{{1,7}}|\#[xX][0-9a-fA-F]{{1,6}});)
     |(?P<env>\\(?:begin|end)\{{(?P<ename>[A-Za-z]+)\*?\}}(?:\[[^\]\n]*\])?(?:\{{[^{{}}\n]*\}})?)
     |(?P<head>\\(?P<level>{_any(HEADING_COMMANDS)})\*?(?:\[[^\]\n]*\])?\{{(?P<htext>(?:[^{{}}\n]|\{{[^{{}}\n]*\}})*)\}})
-    |(?P<item>^[ \t]*\\item\b(?:\[[^\]\n]*\])?[ \t]*)
+    |(?P<item>(?<=^[ \t]*)\\item\b(?:\[[^\]\n]*\])?[ \t]*)
     |(?P<command>\\(?P<cname>[A-Za-z]{{2,}})\*?(?:\[[^\]\n]*\])?\{{(?P<ctext>(?:[^{{}}\n]|\{{[^{{}}\n]*\}})*)\}})
     |(?P<bare>\\(?:{_any(BARE_COMMANDS)})\b)
     |(?P<image>!\[(?P<alt>[^\]\n]*)\](?:\((?:[^()\n]|\([^()\n]*\))*\)|\[[^\]\n]*\]))
     |(?P<wiki>\[\[(?P<wtarget>[^\[\]|\n]+)(?:\|(?P<wtext>[^\[\]\n]*))?\]\])
     |(?P<template>\{{\{{[^{{}}\n]+(?:\n[^{{}}]*)?\}}\}})
-    |(?P<define>^[ ]{{0,3}}\[(?P<dname>\^?[^\]\n]+)\]:[ \t]+(?P<dtext>[^\n]*))
+    |(?P<define>(?<=^[ ]{{0,3}})\[(?P<dname>\^?[^\]\n]+)\]:[ \t]+(?P<dtext>[^\n]*))
     |(?P<link>(?<![\w\]\)])\[(?P<ltext>[^\[\]\n]+)\]\((?P<lurl>[^()\s]+)(?:\s+"[^"\n]*")?\))
     |(?P<reflink>(?<![\w\]\)])\[(?P<rtext>[^\[\]\n]*[^\W\d][^\[\]\n]*)\]\[(?P<rname>[^\[\]\n]*)\])
     |(?P<foot>(?<!^)\[\^[^\]\s]+\])
@@ -80,7 +80,7 @@ INLINE = regex.compile(
     |(?P<under>(?<!\w)__(?P<utext>[^\s_](?:[^\n]*?[^\s_])?)__(?![\w(]))
     |(?P<struck>(?<![~\w])~~(?P<ktext>[^\s~](?:[^~\n]*[^\s~])?)~~(?![~\w]))
     |(?P<emphasis>(?<![\w*])\*(?P<etext>[^\s*](?:[^*\n]*[^\s*])?)\*(?![\w*]))
-    |(?P<slant>(?<![\w_/\\.])_(?P<itext>[^\s_](?:[^_\n]*[^\s_])?)_(?![\w_]))
+    |(?P<slant>(?<![\w_/\\.])_(?P<itext>[^\s_](?:[^_\n]*[^\s_])?)_(?![\w_])))
     """,
     regex.X | regex.I | regex.M,
 )
@@ -104,6 +104,7 @@ CODE = regex.compile(
     r"""\#!|\#include\b|//|(?:def|class|return|import|from|export|for|if|while|print|test|awk|template|const|static_assert|assert|public|private|void|int|auto|let|var|func|fn)\b[^.]*(?:[;:{}()]|=[^=]|\$\w)[^.]*|(?!.*(?:\\[A-Za-z]+\{|&\#?\w+;|\{\{|\[\[[^\W\d]|'''))[^.!?…。？！।۔؟]*[;{}][ \t]*$|[\w.]+(?:\[\w+\])?[ \t]*(?:[|+\-*/]?=)[ \t]*\S.*|.*(?:::|->|&&|\|\||<<|==|<=)[^\s.]*.*[\w)\]};]$|"{3}.*"{3}$|if[ ].*:$|assert\b.*""",
     regex.X,
 )
+SENTENCE_ENDS = ".!?…。！？।۔؟"
 PROSE_END = regex.compile(r"[.!?…。！？।۔؟][\"'”’»)\]]*\s*$")
 
 
@@ -117,9 +118,13 @@ def line_kind(line: str) -> str:
         return "log"
     if JSON.match(line):
         return "json"
-    for name, pattern in LINES:
-        if pattern.match(line):
-            return name
+    plain = line.lstrip()
+    if not plain[0].isalpha():  # all marks that open a line are signs or digits
+        for name, pattern in LINES:
+            if pattern.match(line):
+                return name
+    if line.rstrip()[-1] in SENTENCE_ENDS:
+        return "text"
     return "code" if CODE.match(line) else "text"
 
 
@@ -160,7 +165,7 @@ class Lexer:
         if role and line_kind(line[role.end() :]) in ("quote", "item"):
             return "quote" if line_kind(line[role.end() :]) == "quote" else "text"
         kind = line_kind(line)
-        if kind in ("text", "code") and INLINE.match(line.lstrip()) and line.lstrip()[:1] in "<\\{":
+        if kind in ("text", "code") and line.lstrip()[:1] in "<\\{" and INLINE.match(line.lstrip()):
             return "markup"
         return kind
 
