@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.vector import hamming, pack
-from siltstone.operators.signatures import bit, bit_counts, bucket_keys, probe_masks
+from siltstone.operators.lexical import top_k
+from siltstone.operators.signatures import bit, bit_counts, bucket_keys, probe_masks, tiled
 
 
 def asymmetric_scores(candidates: DataFrame, projected_queries: DataFrame, bits: int) -> DataFrame:
@@ -31,6 +32,40 @@ def weighted_hamming(a: Column, b: Column, weights: list[float]) -> Column:
     return total
 
 
+def _weighted_task(words: int, weights: list[float], k: int, digits: int):
+    scaled = np.array(weights, float) * (len(weights) / sum(weights))
+
+    def bits(column: pa.Array) -> np.ndarray:
+        w = np.array(column.flatten().to_numpy(), np.int64).reshape(-1, words)
+        return np.unpackbits(w.view(np.uint8), axis=1, bitorder="little")[:, : len(scaled)].astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q, d = batch.column("qids")[row].values, batch.column("ids")[row].values
+                order = np.argsort(d.to_numpy(zero_copy_only=False), kind="stable")
+                a, b = bits(batch.column("qwords")[row].values), bits(batch.column("words")[row].values)[order]
+                for at in range(0, len(a), 64):
+                    part = a[at : at + 64] * scaled
+                    # a bit differs where one side has it and not both
+                    gap = part.sum(1)[:, None] + (b @ scaled)[None, :] - 2 * (part @ b.T)
+                    score = np.round(-gap, digits) + 0.0
+                    best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                    i = np.repeat(np.arange(len(part)), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(i + at)), d.take(pa.array(order[best.ravel()])), pa.array(score[i, best.ravel()])], names=["query", "item", "score"])
+
+    return run
+
+
+def weighted_hamming_top_k(signatures: DataFrame, queries: DataFrame, weights: list[float], k: int = 10, digits: int = 6, tile: int = 4096) -> DataFrame:
+    """(query, item, score, rank): the k other signatures of least weighted_hamming among all, as a negated, rounded score, ties by id."""
+    kind = signatures.schema["id"].dataType
+    pairs = tiled(signatures, "ids", "words", tile).crossJoin(tiled(queries, "qids", "qwords", tile))
+    out = T.StructType([T.StructField("query", kind), T.StructField("item", kind), T.StructField("score", T.DoubleType())])
+    near = pairs.mapInArrow(_weighted_task((len(weights) + 63) // 64, weights, k, digits), out).where("query <> item")
+    return top_k(near, "query", "item", "score", k)
+
+
 def budgeted_candidates(signatures: DataFrame, query_signatures: DataFrame, costs: DataFrame, bits: int, budget: int, tables: int = 8, width: int = 8, radius: int = 2) -> DataFrame:
     """(query, item): candidates from probes in the order of their cost, until ``budget`` distinct ones are met.
 

@@ -152,15 +152,16 @@ def _ham_task(words: int, k: int):
     return run
 
 
+def tiled(signatures: DataFrame, ids: str, words: str, tile: int) -> DataFrame:
+    """(ids, words): rows of up to ``tile`` signatures each, as arrays."""
+    numbered = signatures.withColumn("t", F.spark_partition_id() * F.lit(1 << 20) + F.floor((F.monotonically_increasing_id() % (1 << 33)) / tile))
+    return numbered.groupBy("t").agg(F.collect_list(F.struct("id", "words")).alias("r")).select(F.col("r.id").alias(ids), F.col("r.words").alias(words))
+
+
 def hamming_top_k(signatures: DataFrame, queries: DataFrame, words: int, k: int = 10, tile: int = 4096) -> DataFrame:
     """(query, item, distance, rank): the k nearest other signatures of each query, ties by id; tiles of both sides."""
     kind = signatures.schema["id"].dataType
-
-    def tiled(df: DataFrame, a: str, b: str) -> DataFrame:
-        numbered = df.withColumn("t", F.spark_partition_id() * F.lit(1 << 20) + F.floor((F.monotonically_increasing_id() % (1 << 33)) / tile))
-        return numbered.groupBy("t").agg(F.collect_list(F.struct("id", "words")).alias("r")).select(F.col("r.id").alias(a), F.col("r.words").alias(b))
-
-    pairs = tiled(signatures, "ids", "words").crossJoin(tiled(queries, "qids", "qwords"))
+    pairs = tiled(signatures, "ids", "words", tile).crossJoin(tiled(queries, "qids", "qwords", tile))
     out = T.StructType([T.StructField("query", kind), T.StructField("item", kind), T.StructField("distance", T.LongType())])
     near = pairs.mapInArrow(_ham_task(words, k), out).where("query <> item")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "item")))

@@ -187,13 +187,8 @@ def autoencoder_topk(spark, root):
 
 
 def weighted_hamming_topk(spark, root):
-    """Bits weigh 1, 2, 1, 2, ...; the queries against the rows that eight bands propose."""
-    found = S.band_candidates(signs(spark, root), asked_signs(spark, root), WIDTH, 8, 8)
-    both = found.join(signs(spark, root).withColumnRenamed("id", "item"), "item").join(asked_signs(spark, root).select(F.col("id").alias("query"), F.col("words").alias("w")), "query")
-    scored = both.select("query", "item", F.round(-P.weighted_hamming(F.col("words"), F.col("w"), [1.0, 2.0] * 32), 6).alias("score"))
-    from siltstone.operators.lexical import top_k
-
-    return top_k(scored, "query", "item", "score", K)
+    """Bits weigh 1, 2, 1, 2, ...; the queries against all rows."""
+    return P.weighted_hamming_top_k(signs(spark, root), asked_signs(spark, root), [1.0, 2.0] * 32, K)
 
 
 def budgeted_probe_counts(spark, root):

@@ -43,6 +43,22 @@ def test_asymmetric_scores(spark):
     assert P.asymmetric_scores(c, p, 3).first()["score"] == 0.5 - 2.0 - 1.0
 
 
+def test_weighted_hamming_ranks_all_rows(spark, small):
+    from siltstone.plans import vector_queries as V
+
+    e = V.embeddings(spark, small).select("vec_id", "embedding").collect()
+    ids, bits = np.array([r["vec_id"] for r in e]), np.array([r["embedding"] for r in e]) > 0
+    weights = np.array([1.0, 2.0] * 32) / 1.5
+    want = set()
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = np.round(-((bits != bits[q]) @ weights), 6)
+        score[q] = -np.inf
+        want |= {(int(ids[q]), int(ids[i]), float(score[i]), n + 1) for n, i in enumerate(np.lexsort((ids, -score))[:10])}
+    assert {(r["query"], r["item"], r["score"], r["rank"]) for r in V.weighted_hamming_topk(spark, small).collect()} == want
+    several = P.weighted_hamming_top_k(V.signs(spark, small).repartition(3), V.asked_signs(spark, small).repartition(2), [1.0, 2.0] * 32, 10, tile=50)
+    assert {(r["query"], r["item"], r["score"], r["rank"]) for r in several.collect()} == want
+
+
 def test_masked_distance_ignores_unsure_bits(spark):
     df = spark.createDataFrame([([7], [0], [3], [5])], "a array<long>, b array<long>, ma array<long>, mb array<long>")
     assert df.select(P.masked_distance(F.col("a"), F.col("b"), F.col("ma"), F.col("mb"), 1)).first()[0] == 1
