@@ -82,3 +82,36 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, item: str, vector: str,
     pairs = tiles(vectors, item, vector, width).crossJoin(q)
     out = T.StructType([T.StructField("query", kind), T.StructField("item", kind), T.StructField("score", T.DoubleType())])
     return top_k(pairs.mapInArrow(_score_task(width, metric, k, digits, distinct), out), "query", "item", "score", k)
+
+
+def _moment_task(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a = np.frombuffer(batch.column("qdata")[row].as_py(), "<f4").reshape(-1, width).astype(float)
+                b = np.frombuffer(batch.column("data")[row].as_py(), "<f4").reshape(-1, width).astype(float)
+                number = {x: n for n, x in enumerate(dict.fromkeys(batch.column("ids")[row].as_py()))}
+                own = np.array([number[x] for x in batch.column("ids")[row].as_py()])
+                asked = np.array([number.get(x, -1) for x in batch.column("qids")[row].as_py()])
+                signs = np.where(b > 0, 1.0, -1.0)
+                sums = np.zeros(6)
+                for at in range(0, len(a), 256):
+                    part = a[at : at + 256]
+                    x = scores(part, b, "cosine")
+                    y = np.where(part > 0, 1.0, -1.0) @ signs.T / 2  # half the width less the distance: a constant shift
+                    use = (asked[at : at + 256, None] != own[None, :]) & np.isfinite(x)
+                    x, y = x[use], y[use]
+                    sums += [len(x), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], names=["n", "x", "y", "xx", "yy", "xy"])
+
+    return run
+
+
+def cosine_hamming_pearson(vectors: DataFrame, queries: DataFrame, item: str, vector: str, width: int) -> DataFrame:
+    """One row, pearson: the correlation of cosine and negated Hamming distance of the signs over every pair of a
+    query and another row; null where either doesn't vary. Each pair of tiles adds up its own sums."""
+    q = tiles(queries, item, vector, width).select(F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    sums = tiles(vectors, item, vector, width).crossJoin(q).mapInArrow(_moment_task(width), "n double, x double, y double, xx double, yy double, xy double")
+    total = sums.agg(*[F.sum(c).alias(c) for c in sums.columns])
+    vx, vy = (F.col("n") * F.col(f"{c}{c}") - F.col(c) * F.col(c) for c in "xy")
+    return total.select(F.when((vx > 0) & (vy > 0), (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (F.sqrt(vx) * F.sqrt(vy))).alias("pearson"))

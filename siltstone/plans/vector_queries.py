@@ -125,10 +125,9 @@ def pairwise_hamming(spark, root):
 
 
 def cosine_hamming_correlation(spark, root):
-    """Pearson's correlation of cosine and negated Hamming distance over the pairs of the exact top 10."""
-    top = _exact("cosine")(spark, root)
-    both = top.join(signs(spark, root).select(F.col("id").alias("item"), F.col("words").alias("w")), "item").join(asked_signs(spark, root).select(F.col("id").alias("query"), F.col("words").alias("v")), "query")
-    return both.agg(F.round(F.corr("score", -F.bit_count(F.col("w")[0].bitwiseXOR(F.col("v")[0]))), 6).alias("pearson"))
+    """Pearson's correlation of cosine and negated Hamming distance over all pairs of a query and another row."""
+    made = V.cosine_hamming_pearson(embeddings(spark, root), asked(spark, root), "vec_id", "embedding", WIDTH)
+    return made.select(F.round("pearson", 6).alias("pearson"))
 
 
 def scalar_code_entropy(spark, root):

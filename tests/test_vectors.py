@@ -27,6 +27,26 @@ def test_exact_search_equals_brute_force(rows, metric):
         assert [got[q, k + 1][0] for k in range(4)] == order.tolist()
 
 
+def test_cosine_hamming_correlation_counts_all_pairs(spark, small, rows):
+    from siltstone.operators.vectors import cosine_hamming_pearson
+    from siltstone.plans import vector_queries
+
+    def brute(ids, x, asked):
+        length = np.linalg.norm(x, axis=1)
+        c = x[asked] @ x.T / np.where(length > 0, length, 1) / np.where(length > 0, length, 1)[asked][:, None]
+        h = -((x[asked] > 0)[:, None, :] != (x > 0)[None]).sum(2)
+        other = ids[asked][:, None] != ids[None]
+        return np.corrcoef(c[other], h[other])[0, 1]
+
+    e = vector_queries.embeddings(spark, small).select("vec_id", "embedding").collect()
+    ids = np.array([r["vec_id"] for r in e])
+    assert abs(vector_queries.cosine_hamming_correlation(spark, small).first()["pearson"] - brute(ids, np.array([r["embedding"] for r in e], float), ids % 20 == 0)) < 1e-6
+    x, df = rows
+    got = cosine_hamming_pearson(df.repartition(3), df.where("id < 30").repartition(2), "id", "e", 64).first()["pearson"]
+    assert abs(got - brute(np.arange(300), x.astype(float), np.arange(300) < 30)) < 1e-9
+    assert cosine_hamming_pearson(df.limit(0), df, "id", "e", 64).first()["pearson"] is None
+
+
 def test_packing_and_hamming(spark):
     bits = [1, 0, 1] + [0] * 60 + [1] + [1] * 6
     df = spark.createDataFrame([(bits,)], "b array<int>").select(pack(F.col("b"), 70).alias("w"))
