@@ -100,8 +100,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], weight: Col
     return ranged.withColumn(name, local).join(before, ["_range", *keys]).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_weight", "_before")
 
 
-def _large_groups(wide: DataFrame, weights: list[float], top: int) -> DataFrame:
-    """The same columns as _task gives, for groups of any size; p0, p1, ... only up to ``top``, else null."""
+def _large_groups(wide: DataFrame, weights: list[float]) -> DataFrame:
+    """The same columns as _task gives, for groups of any size."""
     parts = []
     for k in range(len(weights)):
         own = wide.where(F.col(f"v{k}").isNotNull()).select("g", "i", F.col(f"v{k}").alias("v"))
@@ -119,14 +119,14 @@ def _large_groups(wide: DataFrame, weights: list[float], top: int) -> DataFrame:
         one = F.when(F.col("q.sign") > 0, F.col("t") * below - low).otherwise(F.col("n") / 2 - low - F.col("t") * (F.col("n") - below))
         flows = found.groupBy("g", "v", "n").agg((F.sum(F.col("q.part") * one)).alias("f"))
         flows = flows.select("g", "v", (F.lit(weights[k] / sum(weights)) * F.col("f") / ((STRICT - INDIFFERENT) * F.greatest(F.lit(1), F.col("n") - 1))).alias("f"))
-        best = own.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"), "i"))).where(F.col("p") <= top).select("g", "i", F.col("p").cast("long").alias("p"))
-        parts.append(own.join(flows, ["g", "v"]).join(best, ["g", "i"], "left").select("g", "i", "f", *[(F.col("p") if j == k else F.lit(None).cast("long")).alias(f"p{j}") for j in range(len(weights))]))
+        placed = running_sum(own, ["g"], [F.col("v").desc(), F.col("i").asc()], F.lit(1).cast("long"), "p")
+        parts.append(placed.join(flows, ["g", "v"]).select("g", "i", "f", *[(F.col("p") if j == k else F.lit(None).cast("long")).alias(f"p{j}") for j in range(len(weights))]))
     flow = reduce(DataFrame.unionByName, parts).groupBy("g", "i").agg(F.sum("f").alias("flow"), *[F.max(f"p{j}").alias(f"p{j}") for j in range(len(weights))])
     placed = running_sum(flow, ["g"], [F.round(F.col("flow"), 12).desc(), F.col("i").asc()], F.lit(1).cast("long"), "place")
     return placed.select("g", "i", "flow", "place", *[f"p{j}" for j in range(len(weights))])
 
 
-def fused_ranking(scores: list[tuple[DataFrame, str, bool]], group: str = "query_id", item: str = "chunk_id", weights: list[float] | None = None, top: int = 5, large_group: int = LARGE_GROUP) -> DataFrame:
+def fused_ranking(scores: list[tuple[DataFrame, str, bool]], group: str = "query_id", item: str = "chunk_id", weights: list[float] | None = None, large_group: int = LARGE_GROUP) -> DataFrame:
     """One ranking of every group's items from several tables of scores: (group, item, flow, place, place_0, ...).
 
     ``scores`` are (table, score column, higher is better). Within a table and group an item counts once, with its
@@ -134,8 +134,8 @@ def fused_ranking(scores: list[tuple[DataFrame, str, bool]], group: str = "query
     its mid-rank in the table's group; an item's flow in a table is the mean over the others of preference for it
     minus preference for them, preference growing linearly from a difference of INDIFFERENT to one of STRICT. The
     weighted flows are added; a table without the item adds 0. ``place`` orders by flow, then item. ``place_k``
-    is the item's place in table k by score, then item; null where it isn't there, and for places beyond ``top`` in
-    groups of more than ``large_group`` rows. Equal scores have equal flow. Empty tables just add nothing.
+    is the item's place in table k by score, then item; null where it isn't there. Equal scores have equal flow.
+    Empty tables just add nothing.
 
     One shuffle of the merged tables and one by group. Groups beyond ``large_group`` rows are never gathered: ranks
     come from range partitions, and shifted percentiles are looked up by blocks of ranks.
@@ -155,7 +155,7 @@ def fused_ranking(scores: list[tuple[DataFrame, str, bool]], group: str = "query
     small = wide.join(large, "g", "left_anti") if some else wide
     result = small.repartition("g").sortWithinPartitions("g").mapInArrow(_task(weights), out)
     if some:
-        result = result.unionByName(_large_groups(cut(wide.join(large, "g", "left_semi")), weights, top))
+        result = result.unionByName(_large_groups(cut(wide.join(large, "g", "left_semi")), weights))
     return _finish(result, group, item, len(scores))
 
 

@@ -201,6 +201,26 @@ def test_fusion_equals_brute_force_on_both_paths(spark):
     assert empty.count() == 0
 
 
+def test_fusion_places_are_the_same_on_both_paths(spark):
+    rng = random.Random(4)
+    a = [(rng.choice("qqr"), f"c{rng.randrange(60)}", float(rng.randrange(30))) for _ in range(150)]
+    b = [(rng.choice("qqr"), f"c{rng.randrange(60)}", rng.randrange(9)) for _ in range(120)]
+    da = spark.createDataFrame([*a, ("q", "nan", NAN)], "query_id string, chunk_id string, score double")
+    db = spark.createDataFrame(b, "query_id string, chunk_id string, hamming_distance int")
+    want = {}
+    for k, (hits, sign) in enumerate(((a, 1), (b, -1))):
+        for q in "qr":
+            best = {}
+            for x, c, s in hits:
+                if x == q:
+                    best[c] = max(sign * s, best.get(c, -1e9))
+            want |= {(k, q, c): n for n, (_, c) in enumerate(sorted((-s, c) for c, s in best.items()), 1)}
+    assert max(want.values()) > 5
+    for large in (10**6, 5):
+        got = fusion.fused_ranking([(da, "score", True), (db, "hamming_distance", False)], large_group=large).collect()
+        assert {(k, r["query_id"], r["chunk_id"]): r[f"place_{k}"] for r in got for k in (0, 1) if r[f"place_{k}"] is not None} == want, large
+
+
 # ---- 7
 
 
