@@ -341,6 +341,34 @@ def pairwise_stats(signatures: DataFrame, words: int, limit: int = 4096) -> Data
     return joined.select(d.alias("d")).agg(F.count("*").alias("pairs"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("deviation"), F.min("d").cast("long").alias("least"), F.max("d").cast("long").alias("most"))
 
 
+def _distance_task(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(64 * words + 1, np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a = np.array(batch.column("qwords")[row].values.flatten().to_numpy(), np.uint64).reshape(-1, words)
+                b = np.array(batch.column("words")[row].values.flatten().to_numpy(), np.uint64).reshape(-1, words)
+                same = batch.column("t")[row].as_py() == batch.column("qt")[row].as_py()
+                for at in range(0, len(a), 64):
+                    gap = np.bitwise_count(a[at : at + 64, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+                    # within one tile, each pair once
+                    counts += np.bincount(gap[np.triu_indices(len(gap), at + 1, len(b))] if same else gap.ravel(), minlength=len(counts))
+        d = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(counts[d])], names=["d", "n"])
+
+    return run
+
+
+def all_pairs_stats(signatures: DataFrame, words: int, tile: int = 4096) -> DataFrame:
+    """One row: pairs, mean, standard deviation, least and most Hamming distance over all pairs, from one count of each distance."""
+    own = cut(tiled(signatures, "ids", "words", tile).select(F.monotonically_increasing_id().alias("t"), "words"))
+    pairs = own.crossJoin(own.select(F.col("t").alias("qt"), F.col("words").alias("qwords"))).where("qt <= t")
+    counts = pairs.mapInArrow(_distance_task(words), "d long, n long").groupBy("d").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.sum(F.col("n") * F.col("d")).alias("s"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("ss"), F.min("d").alias("least"), F.max("d").alias("most"))
+    mean = F.col("s") / F.col("pairs")
+    return total.select("pairs", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("pairs") - mean * mean)).alias("deviation"), "least", "most")
+
+
 def adc_scores(candidates: DataFrame, projected_queries: DataFrame, centers: np.ndarray) -> DataFrame:
     """(query, item, score): sum over bits of (the query's projection - center of the item's bit) squared, ascending.
 

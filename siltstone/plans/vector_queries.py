@@ -120,7 +120,7 @@ def participation_ratio(spark, root):
 
 
 def pairwise_hamming(spark, root):
-    made = S.pairwise_stats(signs(spark, root), 1, 200_000)
+    made = S.all_pairs_stats(signs(spark, root), 1)
     return made.select("pairs", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most")
 
 
@@ -326,4 +326,3 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item)
     "ternary_planes": TERNARY + " SELECT id, nonzero, sign FROM y",
     "ternary_group_distance": TERNARY + " SELECT a.id, b.label, round(avg(bit_count(xor(a.nonzero, b.nonzero)) + 2 * bit_count(a.nonzero & b.nonzero & xor(a.sign, b.sign))), 6) AS distance FROM y a, y b WHERE a.id % 20 = 0 GROUP BY ALL",
 }
-# the sampled pairs of larger tables are ours alone

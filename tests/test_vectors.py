@@ -81,6 +81,20 @@ def test_bands_never_miss_within_the_radius(spark, rows):
     assert near and near <= got
 
 
+def test_pairwise_distances_count_all_pairs(spark, tmp_path):
+    from siltstone.plans import vector_queries
+
+    x = np.random.default_rng(8).normal(size=(700, 64)).astype("f4")  # 244,650 pairs
+    x[5] = x[3]
+    spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = np.concatenate([((x[i] > 0) != (x[i + 1 :] > 0)).sum(1) for i in range(699)])
+    got = vector_queries.pairwise_hamming(spark, str(tmp_path)).first()
+    assert (got["pairs"], got["mean"], got["deviation"], got["least"], got["most"]) == (244_650, round(d.mean(), 6), round(d.std(), 6), 0, d.max())
+    signs = vector_queries.signs(spark, str(tmp_path))
+    assert S.all_pairs_stats(signs.repartition(3), 1, 100).first()["pairs"] == 244_650
+    assert S.all_pairs_stats(signs.limit(1), 1).first()["pairs"] == 0
+
+
 def test_aggregates_round_majority_up(spark):
     df = spark.createDataFrame([("g", [1]), ("g", [2])], "k string, words array<long>")
     word = lambda rule: S.aggregate_signatures(df, 64, "k", rule).first()["words"][0]
