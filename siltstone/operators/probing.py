@@ -96,7 +96,7 @@ def band_layout(signatures: DataFrame, bits: int, bands: int) -> list[list[int]]
     p = np.array(one["ones"]) / max(1, one["n"])
     h = -(p * np.log2(np.where(p > 0, p, 1)) + (1 - p) * np.log2(np.where(p < 1, 1 - p, 1)))
     c = np.zeros((bits, bits))
-    for r in bit_correlations(signatures, bits).collect():  # bits x bits numbers
+    for r in bit_correlations(signatures, bits, None).collect():  # bits x bits numbers
         c[r["a"], r["b"]] = c[r["b"], r["a"]] = abs(r["correlation"])
     out: list[list[int]] = [[] for _ in range(bands)]
     for i in np.argsort(-h, kind="stable"):

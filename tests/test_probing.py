@@ -76,6 +76,19 @@ def test_layout_uses_every_bit_once(spark):
     assert sorted(i for own in layout for i in own) == list(range(64)) and {len(own) for own in layout} == {8}
 
 
+def test_layout_rests_on_all_rows(spark):
+    x, df = data(spark, 900)
+    bits = (x > 0).astype(float)
+    p = bits.mean(0)
+    h = -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
+    c = abs(np.corrcoef(bits.T))
+    want = [[] for _ in range(8)]
+    for i in np.argsort(-h, kind="stable"):
+        best = min((b for b in range(8) if len(want[b]) < 8), key=lambda b: (c[i, want[b]].mean() if want[b] else 0.0, len(want[b]), b))
+        want[best].append(int(i))
+    assert P.band_layout(S.sign_signatures(df, "id", "e", 64), 64, 8) == want
+
+
 def test_offsets_count_bytes(spark):
     assert located("Foo, 3.5!", symbols=True) == [("foo", 0, 3, "word"), (",", 3, 4, "symbol"), ("3.5", 5, 8, "number"), ("!", 8, 9, "symbol")]
     df = spark.createDataFrame([(1, "é ab"), (2, None), (3, "")], "d long, t string")
