@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import cut, parallelism
+from siltstone.session import cut, parallelism, stored
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn(name, local).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
+    """Adds the sum of ``weight`` over the rows of the same keys up to each row, without gathering a key in one task.
+
+    The rows are range-partitioned by key and order; each range has its own sums, to which those of the ranges
+    before it are added, one number per key and range.
+    """
+    ranged = df.repartitionByRange(parallelism(df.sparkSession), *keys, *order)
+    ranged = stored(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_weight", weight))
+    local = F.sum("_weight").over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = ranged.groupBy("_range", *keys).agg(F.sum("_weight").alias("_own"))
+    before = sums.select("_range", *keys, (F.sum("_own").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_own")).alias("_before"))
+    return ranged.withColumn(name, local).join(before, ["_range", *keys]).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_weight", "_before")
+
+
 def reciprocal_rank_fusion(lists: list[tuple[DataFrame, float]], constant: int = 60) -> DataFrame:
     """(query, item, score): sum of weight / (constant + rank) over ranked lists (query, item, rank)."""
     parts = [ranked.select("query", "item", (F.lit(weight) / (F.lit(float(constant)) + F.col("rank"))).alias("part")) for ranked, weight in lists]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
     return own
 
@@ -50,6 +53,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The DataFrame as a table written to the shared folder: like ``cut``, but compressed and read by columns.
+
+    For intermediate rows that several steps read. The table is deleted when the JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores where a table's few files would leave some idle; larger tables stay as they are read.
 
@@ -62,8 +78,3 @@ def spread(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """The number of reduce tasks that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def tokenizer_dir() -> str:
-    """Folder of public tokenizer files; a parameter of the environment."""
-    return os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
