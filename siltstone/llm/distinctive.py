@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Letters that SQL's trim leaves alone; Unicode white space as one character class.
-OUTER_BLANKS = r"(?U)^\s+|\s+$"
+#: The characters that Unicode counts as white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def current_records(records: DataFrame, value: str = "tokens") -> DataFrame:
@@ -24,14 +24,19 @@ def distinctive_terms(records: DataFrame, record: str = "chunk_id", tokens: str
     null and blank tokens don't count, neither for the lengths. ``records`` has one row per record; a null record id
     or token list gives no rows, an empty table none. The length is counted, never taken from a column.
 
-    One explode and two small aggregates: the counts of a record need no shuffle where the input is partitioned by
-    record, the term table is pre-aggregated, and the join on the term has nothing after it, so AQE may split it.
+    The counts and lengths of a record need no shuffle where the input is partitioned by record. The term table is
+    pre-aggregated and gives the collection's totals as well; the join on the term has nothing after it, so AQE may
+    split a term that a third of all records have.
     """
-    clean = F.transform(F.col(tokens), lambda t: F.lower(F.regexp_replace(t, OUTER_BLANKS, "")))
-    kept = records.select(F.col(record).alias("record"), F.filter(clean, lambda t: t.isNotNull() & (t != "")).alias("kept")).where("record is not null and size(kept) > 0")
-    counts = kept.select("record", F.size("kept").cast("long").alias("token_count"), F.explode("kept").alias("term")).groupBy("record", "term").agg(F.count("*").alias("term_count"), F.first("token_count").alias("token_count"))
-    terms = counts.groupBy("term").agg(F.count("*").alias("records"), F.sum("term_count").alias("seen"))
-    whole = kept.agg(F.count("*").alias("n"), F.sum(F.size("kept").cast("long")).alias("all_tokens"))
+    rows = records.select(F.col(record).alias("record"), F.explode(tokens).alias("token")).where("record is not null")
+    kept = rows.select("record", F.lower(F.btrim("token", F.lit(BLANKS))).alias("term")).where("term <> ''")
+    counts = kept.groupBy("record", "term").agg(F.count("*").alias("term_count"))
+    own = Window.partitionBy("record")
+    counts = counts.withColumn("token_count", F.sum("term_count").over(own))
+    # each record is counted at its lowest term, so the totals follow from the table of terms
+    first = (F.col("term") == F.min("term").over(own)).cast("long")
+    terms = counts.withColumn("first", first).groupBy("term").agg(F.count("*").alias("records"), F.sum("term_count").alias("seen"), F.sum("first").alias("firsts"))
+    whole = terms.agg(F.sum("firsts").alias("n"), F.sum("seen").alias("all_tokens"))
     terms = terms.where(F.col("records") >= min_records).crossJoin(F.broadcast(whole))
     prior = F.col("seen") / F.col("all_tokens")
     weight = F.lit(float(mu)) if mu is not None else F.col("all_tokens") / F.col("n")

@@ -7,13 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from siltstone.functions.arrow import codes, rank_in_run, starts, whole_groups
-from siltstone.session import cut, parallelism
+from siltstone.operators.ranking import running_sum
+from siltstone.session import cut
 
 #: Percentile differences up to INDIFFERENT don't count, from STRICT on they count in full, between them linearly.
 INDIFFERENT, STRICT = 0.05, 0.5
@@ -78,7 +78,7 @@ def _task(weights: list[float]):
                 place = np.empty(len(g), np.int64)
                 place[order] = rank_in_run(g[order]) + 1
                 places.append(pa.array(place, mask=np.isnan(v)))
-            order = np.lexsort((by_item, -np.round(total, 12), g))
+            order = np.lexsort((by_item, -np.round(total, 9), g))
             place = np.empty(len(g), np.int64)
             place[order] = rank_in_run(g[order]) + 1
             yield from pa.table([table["g"], table["i"], pa.array(total), pa.array(place), *places], names=["g", "i", "flow", "place", *(f"p{k}" for k in range(len(weights)))]).to_batches()
@@ -86,20 +86,6 @@ def _task(weights: list[float]):
     return run
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
-    """Adds the sum of ``weight`` over the rows of the same keys up to each row, without gathering a key in one task.
-
-    The rows are range-partitioned by key and order; each range has its own sums, to which those of the ranges
-    before it are added, one number per key and range.
-    """
-    ranged = df.repartitionByRange(parallelism(df.sparkSession), *keys, *order)
-    ranged = cut(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_weight", weight))
-    local = F.sum("_weight").over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    sums = ranged.groupBy("_range", *keys).agg(F.sum("_weight").alias("_own"))
-    before = sums.select("_range", *keys, (F.sum("_own").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_own")).alias("_before"))
-    return ranged.withColumn(name, local).join(before, ["_range", *keys]).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_weight", "_before")
-
-
 def _large_groups(wide: DataFrame, weights: list[float]) -> DataFrame:
     """The same columns as _task gives, for groups of any size."""
     parts = []
@@ -122,7 +108,7 @@ def _large_groups(wide: DataFrame, weights: list[float]) -> DataFrame:
         placed = running_sum(own, ["g"], [F.col("v").desc(), F.col("i").asc()], F.lit(1).cast("long"), "p")
         parts.append(placed.join(flows, ["g", "v"]).select("g", "i", "f", *[(F.col("p") if j == k else F.lit(None).cast("long")).alias(f"p{j}") for j in range(len(weights))]))
     flow = reduce(DataFrame.unionByName, parts).groupBy("g", "i").agg(F.sum("f").alias("flow"), *[F.max(f"p{j}").alias(f"p{j}") for j in range(len(weights))])
-    placed = running_sum(flow, ["g"], [F.round(F.col("flow"), 12).desc(), F.col("i").asc()], F.lit(1).cast("long"), "place")
+    placed = running_sum(flow, ["g"], [F.round(F.col("flow"), 9).desc(), F.col("i").asc()], F.lit(1).cast("long"), "place")
     return placed.select("g", "i", "flow", "place", *[f"p{j}" for j in range(len(weights))])
 
 
@@ -133,7 +119,7 @@ def fused_ranking(scores: list[tuple[DataFrame, str, bool]], group: str = "query
     best score; rows with a null group, item or score or a NaN score don't count. A score becomes the percentile of
     its mid-rank in the table's group; an item's flow in a table is the mean over the others of preference for it
     minus preference for them, preference growing linearly from a difference of INDIFFERENT to one of STRICT. The
-    weighted flows are added; a table without the item adds 0. ``place`` orders by flow, then item. ``place_k``
+    weighted flows are added; a table without the item adds 0. ``place`` orders by flow to nine digits, then item. ``place_k``
     is the item's place in table k by score, then item; null where it isn't there. Equal scores have equal flow.
     Empty tables just add nothing.
 

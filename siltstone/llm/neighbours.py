@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.topn import _heap_task
-from siltstone.session import cut, parallelism
+from siltstone.llm.topn import heap_task
+from siltstone.session import parallelism, stored
 
 #: Curves, dimensions and bits a dimension of each, and the neighbours on either side that are compared. Measured
 #: against brute force, see the README; dimensions times bits must stay below 64.
@@ -19,6 +19,9 @@ CURVES, DIMENSIONS, BITS, WINDOW = 20, 12, 5, 160
 #: Vectors on which the scale of the projections is fitted; all vectors are indexed.
 FIT_ROWS = 20_000
 TILE = 256
+#: How far the cosine of vectors in bytes is off at most in practice (measured: 0.004), and how many more neighbours
+#: than asked for are therefore compared exactly.
+MARGIN, SPARE = 0.006, 5
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -50,31 +53,37 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class CurveIndex:
-    """Seeded orthogonal projections, shifts and the fitted scale: what turns vectors into keys, a few kilobytes."""
+    """Seeded orthogonal projections, shifts and the fitted scale: what turns vectors into keys, a few kilobytes.
 
-    def __init__(self, sample: np.ndarray, width: int, curves: int, seed: int = 7):
+    Each curve is cut into ``ranges`` parts at quantiles of the sample's keys.
+    """
+
+    def __init__(self, sample: np.ndarray, width: int, curves: int, ranges: int = 1, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.dims = min(DIMENSIONS, width)
         self.bits = BITS
+        self.ranges = ranges
         self.parts = []
         for _ in range(curves):
             axes = np.linalg.qr(rng.normal(size=(width, width)))[0][:, : self.dims].astype(np.float32)
             y = sample @ axes if len(sample) else np.zeros((1, self.dims))
             self.parts.append((axes, y.mean(0), 2.5 * y.std(0) + 1e-9, rng.uniform(0, 0.25, self.dims)))
+        self.cuts = [np.quantile(k, np.arange(1, ranges) / ranges, method="nearest") if len(sample) else np.zeros(0) for k in self.keys(sample)]
 
     def keys(self, unit: np.ndarray) -> Iterator[np.ndarray]:
         for axes, middle, reach, shift in self.parts:
             z = np.clip(((unit @ axes - middle) / reach + 1) / 2 * 0.75 + shift, 0, 1 - 1e-6)
             yield hilbert_keys((z * (1 << self.bits)).astype(np.uint32), self.bits)
 
+    def places(self, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each curve the keys, and the numbers of the parts that they fall into."""
+        for c, key in enumerate(self.keys(unit)):
+            yield key, c * self.ranges + np.searchsorted(self.cuts[c], key, side="right")
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
-    return x / np.linalg.norm(x, axis=1)[:, None]
-
-
-def _rows(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, width)
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
 
 
 def _key_task(index: CurveIndex, width: int):
@@ -82,60 +91,72 @@ def _key_task(index: CurveIndex, width: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, width)
-            packed = pa.array([r.tobytes() for r in data], pa.binary())
-            for c, key in enumerate(index.keys(_unit(data).astype(np.float32))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), batch.column("g"), packed], names=["curve", "key", "g", "v"])
+            unit = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)).astype(np.float32)
+            # what travels along the curves: components as bytes, in parts of the largest
+            sketch = np.rint(unit * (127 / np.abs(unit).max(1))[:, None]).astype(np.int8)
+            packed = pa.Array.from_buffers(pa.binary(width), len(unit), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
+            for key, part in index.places(unit):
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key), batch.column("no"), packed], names=["part", "key", "no", "s"])
 
     return run
 
 
-def _tile(curve: np.ndarray, unit: np.ndarray, first: int, last: int, k: int, window: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best k of each row's window, for the rows from first to last: (row, other, cosine)."""
+def _tile(part: np.ndarray, unit: np.ndarray, first: int, last: int, k: int, window: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each row's window, for the rows from first to last: (row, other, approximate cosine)."""
     a, b = max(0, first - window), min(len(unit), last + window)
-    near = unit[first:last].astype(np.float32) @ unit[a:b].astype(np.float32).T
+    near = unit[first:last] @ unit[a:b].T
     gap = np.arange(a, b)[None, :] - np.arange(first, last)[:, None]
-    near[(gap == 0) | (np.abs(gap) > window) | (curve[first:last, None] != curve[None, a:b])] = -2
-    hit = near > max(least - 1e-4, -1.5)
+    near[(gap == 0) | (np.abs(gap) > window) | (part[first:last, None] != part[None, a:b])] = -2
+    hit = near > max(least - MARGIN, -1.5)
     many = hit.sum(1) > k
     if many.any():
-        best = np.argpartition(-near[many], k, axis=1)[:, : k + 1]  # one more, since float32 may swap the last two
+        best = np.argpartition(-near[many], k - 1, axis=1)[:, :k]
         kept = np.zeros((int(many.sum()), near.shape[1]), bool)
         np.put_along_axis(kept, best, True, axis=1)
         hit[many] &= kept
     i, j = np.nonzero(hit)
-    i, j = i + first, j + a
-    return i, j, np.einsum("ij,ij->i", unit[i], unit[j])
+    return i + first, j + a, near[i, j]
 
 
 def _window_task(width: int, k: int, window: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: pa.Array | None = None
-        curve, unit, done = np.empty(0, np.int32), np.empty((0, width)), 0
+        ids, part, unit, done = np.empty(0, np.int64), np.empty(0, np.int32), np.empty((0, width), np.float32), 0
 
         def finish(upto: int) -> Iterator[pa.RecordBatch]:
             for first in range(done, upto, TILE):
-                i, j, cosine = _tile(curve, unit, first, min(upto, first + TILE), k, window, least)
+                i, j, cosine = _tile(part, unit, first, min(upto, first + TILE), k, window, least)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(cosine)], names=["g", "i", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(cosine.astype(np.float32))], names=["g", "i", "s"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column("g")
-            ids = own if ids is None else pa.concat_arrays([ids, own])
-            curve = np.concatenate([curve, batch.column("curve").to_numpy()])
-            unit = np.concatenate([unit, _unit(_rows(batch.column("v"), width))])
+            sketch = np.frombuffer(b"".join(batch.column("s").to_pylist()), np.int8).reshape(-1, width)
+            ids = np.concatenate([ids, batch.column("no").to_numpy()])
+            part = np.concatenate([part, batch.column("part").to_numpy()])
+            unit = np.concatenate([unit, _unit(sketch).astype(np.float32)])
             upto = max(done, len(unit) - window)
             yield from finish(upto)
             drop = max(0, upto - window)
-            ids, curve, unit, done = ids.slice(drop), curve[drop:], unit[drop:], upto - drop
-        if ids is not None:
+            ids, part, unit, done = ids[drop:], part[drop:], unit[drop:], upto - drop
+        if len(ids):
             yield from finish(len(unit))
 
     return run
 
 
+def _cosine_task(width: int, out: list[str]):
+    """Adds the exact cosine of the two vectors of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (_unit(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)) for c in ("a", "b"))
+                yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("i"), pa.array(np.einsum("ij,ij->i", a, b))], names=out)
+
+    return run
+
+
 def usable(vectors: DataFrame, embedding: str, width: int) -> DataFrame:
     """The rows whose vector has the given width and only finite components, not all of them zero."""
     v = F.col(embedding)
@@ -152,23 +173,34 @@ def nearest(vectors: DataFrame, item: str = "chunk_id", embedding: str = "embedd
     it needs, never all pairs. An empty table gives no rows. The search is approximate in which neighbours it sees,
     exact in their cosines; a test of recall against brute force stands in the tests and in the README.
 
-    Each vector is sent once per curve, range-partitioned by its place on the curve, so that neighbours on a curve
-    stand together whatever their density; windows of fixed width make the work linear in the rows.
+    Along the curves travels one byte per component, range-partitioned by the place on the curve, so that neighbours
+    on a curve stand together whatever their density; windows of fixed width make the work linear in the rows. The
+    k + SPARE best of all windows by the approximate cosine (MARGIN holds its error) are then compared exactly, for
+    which the vectors are joined to the pairs.
     """
     kind = vectors.schema[item].dataType
     rows = usable(vectors, embedding, width).select(F.col(item).alias("id"), F.transform(embedding, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v")).where("id is not null")
-    rows = cut(rows)
-    # read by the fit, by the sampling of the ranges, by the search and for the copies
-    classes = cut(rows.groupBy("v").agg(F.min("id").alias("g"), F.count("*").alias("n")))
-    # the output of the hash aggregate is in no order of the data, so its first rows do for the scale
-    sample = [r["v"] for r in classes.select("v").limit(FIT_ROWS).collect()]
-    index = CurveIndex(_unit(np.array(sample, np.float32)).astype(np.float32) if sample else np.empty((0, width), np.float32), width, curves)
-    keyed = classes.select("g", "v").mapInArrow(_key_task(index, width), T.StructType([T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("g", kind), T.StructField("v", T.BinaryType())]))
-    ranged = keyed.repartitionByRange(max(curves, parallelism(vectors.sparkSession)), "curve", "key").sortWithinPartitions("curve", "key", "g")
-    pair = T.StructType([T.StructField("g", kind), T.StructField("i", kind), T.StructField("s", T.DoubleType())])
-    seen = ranged.mapInArrow(_window_task(width, k, window, least), pair).repartition("g")
-    best = seen.mapInArrow(_heap_task(k, True), T.StructType([*pair.fields, T.StructField("place", T.LongType())])).where(F.col("s") > least)
-    return _with_copies(rows, classes.where("n > 1"), best, item, k, least)
+    rows = stored(rows)
+    # read by the fit, by the search, by the reranking and for the copies; numbers are shorter than ids
+    classes = stored(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()))
+    sample = classes.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(FIT_ROWS).select("v").toArrow()["v"]  # the lowest hashes
+    unit = _unit(sample.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)).astype(np.float32)
+    ranges = -(-parallelism(vectors.sparkSession) // curves)
+    index = CurveIndex(unit, width, curves, ranges)
+    keyed = classes.select("no", "v").mapInArrow(_key_task(index, width), "part int, key long, no long, s binary")
+    ranged = keyed.repartitionById(curves * ranges, F.col("part")).sortWithinPartitions("part", "key", "no")
+    seen = ranged.mapInArrow(_window_task(width, k + SPARE, window, least), "g long, i long, s float").repartition("g")
+    some = seen.mapInArrow(heap_task(k + SPARE, False), "g long, i long, s float")
+    # each unordered pair is compared once
+    pairs = some.select(F.least("g", "i").alias("g"), F.greatest("g", "i").alias("i")).distinct()
+    own = classes.select(F.col("no").alias("g"), F.col("v").alias("a"))
+    both = pairs.join(own, "g").join(own.select(F.col("g").alias("i"), F.col("a").alias("b")), "i")
+    exact = both.select("g", "i", "a", "b").mapInArrow(_cosine_task(width, ["g", "i", "s"]), "g long, i long, s double").where(F.col("s") > least)
+    names = classes.select(F.col("no").alias("g"), F.col("id"))
+    named = exact.join(names, "g").select(F.col("id").alias("x"), "i", "s").join(names.select(F.col("g").alias("i"), "id"), "i").select("x", F.col("id").alias("y"), "s")
+    directed = named.select(F.explode(F.array(F.struct(F.col("x").alias("g"), F.col("y").alias("i")), F.struct(F.col("y").alias("g"), F.col("x").alias("i")))).alias("p"), "s").select("p.g", "p.i", "s")
+    best = directed.repartition("g").mapInArrow(heap_task(k, True), T.StructType([T.StructField("g", kind), T.StructField("i", kind), T.StructField("s", T.DoubleType()), T.StructField("place", T.LongType())]))
+    return _with_copies(rows, classes.where("n > 1").select("v", F.col("id").alias("g")), best, item, k, least)
 
 
 def _with_copies(rows: DataFrame, repeated: DataFrame, best: DataFrame, item: str, k: int, least: float) -> DataFrame:

@@ -1,67 +1,84 @@
-"""Filling fixed-capacity containers: harmonic classes, each worker filling the bins of each class on its own."""
+"""Filling fixed-capacity containers: harmonic classes with a fixed item count per bin, planned on the sizes' counts."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Sizes in (capacity / (k + 1), capacity / k] are class k; all that are smaller share the last class.
-CLASSES = 24
-#: Bins with space left that a worker keeps in view for small items; a full view closes its fullest bin.
-VIEW = 4096
+from siltstone.operators.ranking import numbered
+from siltstone.session import stored
 
+#: Distinct sizes that the plan tells apart; with larger capacities sizes count in whole steps, rounded up.
+STEPS = 1 << 20
 
-class HarmonicPacker:
-    """Packs (item, size) pairs, sizes at most the capacity; emits (bin, item index) as soon as they are known.
 
-    Class k < CLASSES holds exactly k items per bin, the last class as many as fit. A finished bin with space left
-    stays in view, and an item of any class but the first goes into the bin in view that it fills best, where there
-    is one, before a bin of its class.
+class Plan:
+    """Which bins the items of each size go to, by their rank within the size.
+
+    Class k has the sizes in (capacity / (k + 1), capacity / k] and k items to a bin. Bins are made from the largest
+    class down, each with k items of its class, the largest that are left; the rest of the capacity is filled with
+    smaller classes' items, the largest that fit first. A bin is repeated as often as the sizes it takes allow, so
+    that each kind of bin uses up a size: there are no more kinds than distinct sizes, however many items there are.
     """
 
-    def __init__(self, capacity: int, name: str):
-        self.capacity, self.name, self.bins = capacity, name, 0
-        self.open: dict[int, list[int]] = {}  # class -> [bin, items, space]
-        self.view: list[tuple[int, int]] = []  # (space, bin), ascending
-
-    def place(self, size: int) -> str:
-        k = CLASSES if size <= 0 else min(CLASSES, self.capacity // size)
-        if k > 1:
-            at = bisect_left(self.view, (size, -1))
-            if at < len(self.view):
-                space, bin_ = self.view.pop(at)
-                self._see(space - size, bin_)
-                return f"{self.name}-{bin_}"
-        held = self.open.get(k)
-        if held is None or held[2] < size or (k < CLASSES and held[1] == k):
-            if held is not None:
-                self._see(held[2], held[0])
-            held = self.open[k] = [self.bins, 0, self.capacity]
-            self.bins += 1
-        held[1] += 1
-        held[2] -= size
-        if k < CLASSES and held[1] == k:
-            self._see(held[2], held[0])
-            del self.open[k]
-        return f"{self.name}-{held[0]}"
-
-    def _see(self, space: int, bin_: int) -> None:
-        if space > 0:
-            insort(self.view, (space, bin_))
-            if len(self.view) > VIEW:
-                self.view.pop(0)
-
-
-def _pieces(size: int, capacity: int) -> list[tuple[int, int]]:
-    """(offset, length) of the pieces of an item: one, unless it is larger than the capacity."""
-    if size <= capacity:
-        return [(0, size)]
-    return [(at, min(capacity, size - at)) for at in range(0, size, capacity)]
+    def __init__(self, counts: np.ndarray, capacity: int):
+        left = counts.astype(np.int64).copy()
+        lower = np.arange(-1, len(left) - 1)  # for a size without items: a size below it that may have some
+
+        def below(size: int) -> int:
+            """The largest size from 1 to ``size`` that has items left; 0 where there is none."""
+            found = size
+            while found > 0 and left[found] == 0:
+                found = int(lower[found])
+            while size > found:
+                lower[size], size = found, int(lower[size])
+            return max(found, 0)
+
+        given = np.zeros(len(left), np.int64)  # items of each size that have a bin
+        segments: list[tuple[int, int, int, int]] = []  # size, first rank, first bin, items to a bin
+        self.bins = 0
+        largest = below(len(left) - 1)
+        while largest:
+            k = max(1, capacity // largest)
+            bin_: dict[int, int] = {}
+            space, wanted, size = capacity, k, largest
+            while size and wanted and max(1, capacity // size) == k:
+                n = min(wanted, int(left[size]))
+                bin_[size] = n
+                wanted, space = wanted - n, space - n * size
+                size = below(size - 1)
+            size = below(max(0, min(space, size)))
+            while size:
+                n = min(space // size, int(left[size]))
+                bin_[size] = n
+                space -= n * size
+                size = below(min(space, size - 1))
+            times = min(int(left[s]) // n for s, n in bin_.items())
+            for s, n in bin_.items():
+                segments.append((s, int(given[s]), self.bins, n))
+                given[s] += n * times
+                left[s] -= n * times
+            self.bins += times
+            largest = below(largest)
+        before = np.concatenate(([0], np.cumsum(counts)[:-1]))  # ranks go through all sizes, in order
+        table = np.array(segments, np.int64).reshape(-1, 4)
+        first = before[table[:, 0]] + table[:, 1]
+        order = np.argsort(first)
+        self.first, self.bin, self.items = first[order], table[order, 2], table[order, 3]
+        self.empty = int(counts[0])
+
+    def place(self, rank: np.ndarray) -> np.ndarray:
+        """Bins of items by their rank in the order of sizes; items of size 0 come first and go to all bins in turn."""
+        out = rank % max(1, self.bins)
+        real = rank >= self.empty
+        at = np.searchsorted(self.first, rank[real], side="right") - 1
+        out[real] = self.bin[at] + (rank[real] - self.first[at]) // self.items[at]
+        return out
 
 
 def pack(items: DataFrame, item: str, size: str | None = None, text: str | None = None, capacity: int = 6144) -> DataFrame:
@@ -70,29 +87,33 @@ def pack(items: DataFrame, item: str, size: str | None = None, text: str | None
     The size is the column ``size``, or the bytes of ``text``; null counts as 0, as do sizes below it. Every row comes
     out, repeated ones as often as they stand; an item larger than the capacity becomes full pieces and one rest,
     no other is split. Items of size 0 go wherever there is a bin. A null item keeps its null. An empty table gives
-    no rows.
+    no rows. Containers are numbers from 0 without gaps, and the same however the rows lie in their files, but for
+    rows that are equal in item and size.
 
-    Nothing is shuffled: each task packs its own rows with a bounded state, and leaves at most one open bin a class.
+    The driver gets one count per distinct size (at most ``capacity`` of them, and at most STEPS) and plans the bins;
+    the narrow rows are range-partitioned by size and numbered, and each worker places its own by their numbers
+    alone: all bins are full but for the last of the plan, however many workers there are.
     """
-    from pyspark import TaskContext
-
     kind = items.schema[item].dataType
     amount = F.octet_length(F.col(text)).cast("long") if text else F.col(size).cast("long")
-    narrow = items.select(F.col(item).alias("item"), F.greatest(F.coalesce(amount, F.lit(0).cast("long")), F.lit(0).cast("long")).alias("size"))
-    out = T.StructType([T.StructField("item", kind), T.StructField("piece", T.LongType()), T.StructField("piece_count", T.LongType()), T.StructField("size_offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("container", T.StringType())])
+    narrow = items.select(F.col(item).alias("item"), F.greatest(F.coalesce(amount, F.lit(0).cast("long")), F.lit(0).cast("long")).alias("whole"))
+    pieces = F.greatest(F.ceil(F.col("whole") / capacity), F.lit(1)).cast("long")
+    cuts = narrow.withColumn("piece_count", pieces).select("item", "whole", "piece_count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("piece_count") - 1)).alias("piece"))
+    offset = F.col("piece") * capacity
+    step = -(-capacity // STEPS)
+    length = F.least(F.col("whole") - offset, F.lit(capacity).cast("long"))
+    # the rows are numbered as they are written, so that equal ones can be told apart
+    rows = stored(cuts.select("item", "piece", "piece_count", offset.alias("size_offset"), length.alias("size"), F.ceil(length / step).alias("steps"), F.monotonically_increasing_id().alias("row")))
+    found = rows.groupBy("steps").agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(capacity // step + 2, np.int64)
+    counts[found["steps"].to_numpy()] = found["n"].to_numpy()
+    plan = items.sparkSession.sparkContext.broadcast(Plan(counts, capacity // step))  # at most as many kinds of bins as sizes
+    out = T.StructType([T.StructField("item", kind), *[T.StructField(c, T.LongType()) for c in ("piece", "piece_count", "size_offset", "size", "container")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = HarmonicPacker(capacity, str(TaskContext.get().partitionId()))
         for batch in batches:
-            sizes = batch.column("size").to_pylist()
-            # larger items of a batch first, so that their bins are in view when the small ones come
-            order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-            rows: list[tuple] = []
-            for i in order:
-                parts = _pieces(sizes[i], capacity)
-                rows += [(i, k, len(parts), at, n, packer.place(n)) for k, (at, n) in enumerate(parts)]
-            if rows:
-                index, *rest = map(list, zip(*rows))
-                yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(index)), *(pa.array(x, pa.int64()) for x in rest[:4]), pa.array(rest[4])], names=out.names)
-
-    return narrow.mapInArrow(run, out).withColumnRenamed("item", item)
+            placed = pa.array(plan.value.place(batch.column("rank").to_numpy().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out.names[:-1]), placed], names=out.names)
+
+    ranked = numbered(rows, ["steps", "item", "row"], "rank")
+    return ranked.select(*out.names[:-1], "rank").mapInArrow(run, out).withColumnRenamed("item", item)

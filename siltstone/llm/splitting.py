@@ -97,13 +97,14 @@ def longest_run(text: str) -> int:
 
 
 def split_oversized(items: DataFrame, item: str, text: str = "text", limit: int = 2400, overlap: int = 120, offset: str | None = None) -> DataFrame:
-    """Pieces of at most ``limit`` bytes: (item, piece, piece_count, source_range, text, hard, unbroken).
+    """Pieces of at most ``limit`` bytes: (item, piece, piece_count, source_range, overlap,
+    text, hard, unbroken).
 
     A text within the limit is one piece as it is. A larger one is cut in two at the strongest boundary (paragraph,
     line, sentence, clause, word) near its middle, and its halves again, until each is within the limit less the
     overlap; where there is no boundary it is cut between two characters, which marks the piece after it as
     ``hard``. Each piece but the first then begins ``overlap`` bytes earlier, less up to three bytes where that is
-    inside a character. ``source_range`` counts bytes from the start of the text, plus the column ``offset`` where
+    inside a character; ``overlap`` is what it shares with the one before. ``source_range`` counts bytes from the start of the text, plus the column ``offset`` where
     one is named. ``unbroken`` says that the text has a run of more than ``limit`` bytes without any white space,
     `。`, `！` or `？`, so that no splitter of this limit can avoid a hard cut.
 
@@ -118,23 +119,23 @@ def split_oversized(items: DataFrame, item: str, text: str = "text", limit: int
     base = F.coalesce(F.col(offset).cast("long"), F.lit(0).cast("long")) if offset else F.lit(0).cast("long")
     narrow = items.select(F.col(item).alias("item"), F.col(text).alias("text"), base.alias("base")).where("text is not null")
     ranges = T.StructType([T.StructField("byte_offset", T.LongType()), T.StructField("byte_length", T.LongType())])
-    out = T.StructType([T.StructField("item", kind), T.StructField("piece", T.LongType()), T.StructField("piece_count", T.LongType()), T.StructField("byte_offset", T.LongType()), T.StructField("byte_length", T.LongType()), T.StructField("text", T.StringType()), T.StructField("hard", T.BooleanType()), T.StructField("unbroken", T.BooleanType())])
+    out = T.StructType([T.StructField("item", kind), T.StructField("piece", T.LongType()), T.StructField("piece_count", T.LongType()), T.StructField("byte_offset", T.LongType()), T.StructField("byte_length", T.LongType()), T.StructField("overlap", T.LongType()), T.StructField("text", T.StringType()), T.StructField("hard", T.BooleanType()), T.StructField("unbroken", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                whole, at = batch.column("text")[k].as_py(), batch.column("base")[k].as_py()
-                data = whole.encode()
-                pieces = bisect_text(whole, limit, overlap)
-                unbroken = longest_run(whole) > limit
-                n = len(pieces)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("item").take(pa.array([k] * n)), pa.array(range(n), pa.int64()), pa.array([n] * n, pa.int64()), pa.array([at + a for a, _, _ in pieces], pa.int64()), pa.array([b - a for a, b, _ in pieces], pa.int64()), pa.array([data[a:b].decode() for a, b, _ in pieces], pa.string()), pa.array([h for _, _, h in pieces]), pa.array([unbroken] * n)],
-                    names=out.names,
-                )
+            rows = []
+            for k, (whole, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column("base").to_pylist())):
+                data, pieces, unbroken, end = whole.encode(), bisect_text(whole, limit, overlap), longest_run(whole) > limit, 0
+                for n, (a, b, hard) in enumerate(pieces):
+                    rows.append((k, n, len(pieces), at + a, b - a, max(0, end - a), data[a:b].decode(), hard, unbroken))
+                    end = b
+            if rows:
+                index, *columns = zip(*rows)
+                made = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.string(), pa.bool_(), pa.bool_()])]
+                yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(index)), *made], names=out.names)
 
     large = narrow.where(F.octet_length("text") > limit).mapInArrow(run, out)
     one = F.lit(1).cast("long")
-    small = narrow.where(F.octet_length("text") <= limit).select("item", (one - 1).alias("piece"), one.alias("piece_count"), F.col("base").alias("byte_offset"), F.octet_length("text").cast("long").alias("byte_length"), "text", F.lit(False).alias("hard"), F.lit(False).alias("unbroken"))
+    small = narrow.where(F.octet_length("text") <= limit).select("item", (one - 1).alias("piece"), one.alias("piece_count"), F.col("base").alias("byte_offset"), F.octet_length("text").cast("long").alias("byte_length"), (one - 1).alias("overlap"), "text", F.lit(False).alias("hard"), F.lit(False).alias("unbroken"))
     both = large.unionByName(small)
-    return both.select(F.col("item").alias(item), "piece", "piece_count", F.struct("byte_offset", "byte_length").cast(ranges).alias("source_range"), "text", "hard", "unbroken")
+    return both.select(F.col("item").alias(item), "piece", "piece_count", F.struct("byte_offset", "byte_length").cast(ranges).alias("source_range"), "overlap", "text", "hard", "unbroken")
