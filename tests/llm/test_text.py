@@ -1,5 +1,11 @@
+import random
+from collections import Counter
+from itertools import product
+
+import pytest
+
 from siltstone.llm.markup import Rules, Document, align, clean_markup, expression, merge_wrappers, repeats, wrappers
-from siltstone.llm.sentences import HiddenEvents, contexts, enclosed, fit, gaps, sentences
+from siltstone.llm.sentences import HiddenEvents, contexts, enclosed, fit, gaps, sentences, word_rows
 from siltstone.session import load
 
 
@@ -76,13 +82,16 @@ def test_gaps_and_enclosures():
     assert [g for g, _ in gaps("Γιατί; Χθες")] == [6] and gaps("why; not") == []
 
 
+def _counted(paragraphs):
+    marked, words = Counter(), Counter()
+    for p in paragraphs:
+        marked.update(contexts(p, words))
+    return [(*k, n) for k, n in marked.items()], list(word_rows(words))
+
+
 def model():
     paras = ["Dr. Orsk left. The cache was full.", "The cache grew. See sec. 3 for more.", "It works, e.g. here. We saw it.", "We met Dr. Orsk. It rose to 0.5.", "See sec. 8 again. Dr. Orsk came.", "We saw it. All is here."] * 30
-    rows = {}
-    for p in paras:
-        for c in contexts(p):
-            rows[c] = rows.get(c, 0) + 1
-    return HiddenEvents([(*k, n) for k, n in rows.items()])
+    return HiddenEvents(*_counted(paras))
 
 
 def test_model_learns_abbreviations():
@@ -91,6 +100,50 @@ def test_model_learns_abbreviations():
     assert [text[a:b] for a, b in m.split(text)] == ["Dr. Orsk left.", "See sec. 4 again.", "The cache\nwas full.", "We saw it"]
 
 
+def _unmarked(sentences, rng, marks, joint):
+    """Paragraphs of sentences with marks, and one without, with its true boundaries."""
+    paras = [joint.join(rng.choice(sentences) + marks for _ in range(rng.randrange(2, 7))) for _ in range(400)]
+    chosen = [rng.choice(sentences) for _ in range(6)]
+    ends, at = [], 0
+    for c in chosen[:-1]:
+        at += len(c)
+        ends.append(at)
+        at += len(joint)
+    return paras, joint.join(chosen), ends
+
+
+@pytest.mark.parametrize("script", ["latin", "lower", "han", "thai"])
+def test_boundaries_between_words_without_marks(script):
+    rng = random.Random(7)
+    if script in ("latin", "lower"):
+        some = [f"{a} {b} {c}" for a in ("The cache", "A shard", "Our planner", "Every index") for b in ("grew", "was full", "met the limit") for c in ("again", "last night", "after the merge")]
+        joint, marks = " ", "."
+    elif script == "han":
+        some = [a + b + c for a in ("缓存", "这个分片", "我们的索引") for b in ("昨天", "每次", "又") for c in ("满了", "变大了", "重建完成")]
+        joint, marks = "", "。"
+    else:
+        some = [a + b + c for a in ("แคช", "ดัชนี", "ระบบ") for b in ("เมื่อวาน", "ทุกครั้ง") for c in ("เต็มแล้ว", "ว่างอยู่", "โตขึ้น")]
+        joint, marks = " ", ""
+    paras, text, ends = _unmarked(some, rng, marks, joint)
+    if script == "thai":  # without spaces as well
+        _, text, ends = _unmarked(some, rng, "", "")
+    m = HiddenEvents(*_counted(paras))
+    if script == "lower":
+        text = text.lower()
+    assert m.boundaries(text) == ends
+    assert m.boundaries(some[0]) == [] and HiddenEvents(_counted(paras)[0]).boundaries(text) == []
+
+
+def test_rare_contexts_count_with_their_shapes(spark):
+    names = ["".join(rng) for rng in product("abcdefg", repeat=2)]
+    texts = [f"Word{k} alpha beta{k}. Next{k[0]} gamma. Done delta{k}." for k in names]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    full, small = fit(df), fit(df, size=10)
+    assert full.total == small.total == 5 * 4 * 49  # nothing is left out
+    assert len(small.next) < len(full.next) and len(small.words.all) < len(full.words.all)
+    assert sum(small.words.all.values()) == sum(full.words.all.values()) == 7 * 49
+
+
 def test_sentences_edge_rows(spark):
     df = spark.createDataFrame([(1, "A b. C d."), (1, "A b. C d."), (2, None), (3, ""), (4, " \n\n "), (5, "🙂 x"), (6, "# Head\ntext")], "doc_id long, text string").selectExpr("*", "'clash' as sentence")
     got = {}
