@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -108,12 +109,29 @@ SENTENCE_ENDS = ".!?…。！？।۔؟"
 PROSE_END = regex.compile(r"[.!?…。！？।۔؟][\"'”’»)\]]*\s*$")
 
 
+BLOCK_ENDS = regex.compile(r"^(?:<[^<>]*>|\\begin\{[^{}]*\}(?:\[[^\]\n]*\])?)|(?:</[^<>]*>|\\end\{[^{}]*\})$", regex.I)
+FORMULA_ENDS = regex.compile(r"^(?:<math\b[^<>]*>|\\begin\{[^{}]*\}|\$\$|\\\[|\\\(|\$)|(?:</math\s*>|\\end\{[^{}]*\}|\$\$|\\\]|\\\)|\$)$", regex.I)
+INLINE_ENDS, TAG, CODE_TAG = regex.compile(r"^`+|`+$|^\\verb\*?.|</?nowiki>"), regex.compile(r"<[^<>]*>"), regex.compile(r"</?code\b[^<>]*>")
+NO_TEXT = regex.compile(r"(?:category|file|image):", regex.I)
+WIKI_ROW = regex.compile(r"[ \t]*(?:\{\|[^\n]*|\|\}|\|-+[^\n]*)$(*SKIP)(*FAIL)|[ \t]*(?:(?P<caption>\|\+)|\||!)[ \t]*")
+WIKI_CELL = regex.compile(r"\|\||!!")
+LATEX_ROW = regex.compile(r"\\\\(?:\[[^\]\n]*\])?[ \t]*")
+LATEX_RULE = regex.compile(r"(?:\s|\\(?:hline|toprule|midrule|bottomrule|centering)\b|\\(?:cline|cmidrule)\{[^{}\n]*\})*")
+LATEX_CELL = regex.compile(r"(?<!\\)&(?![#\w]+;)")
+SPACES = regex.compile(r"\s*")
+BLANK_LINES = regex.compile(r"\n{3,}")
+INDENT, BULLET = regex.compile(r"(?:[ ]{4}|\t)\s*\S"), regex.compile(r"\s*[-*+]\s")
+INDENTED, UNDERLINE, QUOTE = regex.compile(r"[ ]{4}|\t"), regex.compile(r"\s*(?:=+|-+)\s*"), regex.compile(r"[ ]{0,3}>[ ]?")
+ITEM_MARK = regex.compile(r"[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?|[*#;:]+[ \t]*")
+HEAD_LEAD, HEAD_TAIL, HEAD_TAG = regex.compile(r"[ \t]*[#=]+[ \t]*"), regex.compile(r"[ \t]#+[ \t]*$"), regex.compile("h[1-6]")
+
+
 def line_kind(line: str) -> str:
     """The token of a line: what its beginning would be as markup, else code, log, json or text."""
     if not line.strip():
         return "blank"
-    if regex.match(r"(?:[ ]{4}|\t)\s*\S", line):
-        return "item" if LINES[7][1].match(line) and regex.match(r"\s*[-*+]\s", line) else "indent"
+    if line[0] in " \t" and INDENT.match(line):
+        return "item" if LINES[7][1].match(line) and BULLET.match(line) else "indent"
     if LOG.match(line):
         return "log"
     if JSON.match(line):
@@ -183,13 +201,15 @@ class Lexer:
             yield held
 
 
-# A wrapper is a union-free expression: a list of nodes [what, optional, repeated, support], where what is a token or
-# again a list of nodes. Text is a slot; its token is "text".
+# A wrapper is a union-free expression: a list of nodes [what, optional, repeated, support, coded], where what is a
+# token or again a list of nodes. Text is a slot; its token is "text". Support counts the segments that have the node,
+# coded those of them that also have lines of code or logs.
 
 
 def repeats(stream: list) -> list:
     """A stream as nodes, every run of equal parts of up to four tokens being one repeated group."""
-    nodes = [[t, False, False, 1] for t in stream]
+    coded = int("code" in stream or "log" in stream)
+    nodes = [[t, False, False, 1, coded] for t in stream]
     for width in range(1, 5):
         out, k = [], 0
         while k < len(nodes):
@@ -198,9 +218,9 @@ def repeats(stream: list) -> list:
             while len(unit) == width and _plain(nodes[end : end + width]) == unit:
                 end += width
             if end > k + width and width == 1:
-                out.append([nodes[k][0], False, True, 1])
+                out.append([nodes[k][0], False, True, 1, coded])
             elif end > k + width:
-                out.append([nodes[k : k + width], False, True, 1])
+                out.append([nodes[k : k + width], False, True, 1, coded])
             else:
                 out.append(nodes[k])
                 end = k + 1
@@ -224,8 +244,7 @@ def align(wrapper: list, nodes: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
-            x, y = wrapper[i], nodes[j]
-            out.append([align(x[0], y[0]) if isinstance(x[0], list) else x[0], x[1] or y[1], x[2] or y[2], x[3] + y[3]])
+            out.append(_both(wrapper[i], nodes[j], False))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([wrapper[i][0], True, *wrapper[i][2:]])
@@ -233,25 +252,43 @@ def align(wrapper: list, nodes: list) -> list:
         else:
             out.append([nodes[j][0], True, *nodes[j][2:]])
             j += 1
-    return _folded(out)
+    return gathered(out)
+
+
+def _both(x: list, y: list, twice: bool) -> list:
+    """Two nodes of the same tokens as one; ``twice`` where they may follow each other."""
+    what = align(x[0], y[0]) if isinstance(x[0], list) else x[0]
+    return [what, x[1] or y[1] or twice, x[2] or y[2] or twice, x[3] + y[3], x[4] + y[4]]
+
 
+def gathered(nodes: list) -> list:
+    """Between two nodes that all segments have, optional nodes of the same tokens become one that repeats.
 
-def _folded(nodes: list) -> list:
-    """Neighbouring optional nodes of one token become one that repeats, so that a wrapper doesn't grow with its pages."""
+    A wrapper is so no longer than the shortest of its segments times the kinds of nodes, however many segments there
+    are.
+    """
     out: list = []
+    here: dict[tuple, int] = {}
     for node in nodes:
-        if out and out[-1][1] and node[1] and isinstance(node[0], str) and out[-1][0] == node[0]:
-            out[-1] = [node[0], True, True, out[-1][3] + node[3]]
+        if not node[1]:
+            here = {}
+            out.append(node)
+            continue
+        key = (node[0],) if isinstance(node[0], str) else tuple(sorted(set(_tokens(node[0])))) + ("",)
+        if key in here:
+            out[here[key]] = _both(out[here[key]], node, True)
         else:
+            here[key] = len(out)
             out.append(node)
-    if len(out) <= 48:
-        return out
-    # a page that shares nothing with the wrapper: its optional nodes of one token are gathered behind
-    must, rest = [n for n in out if not n[1]], {}
-    for node in (n for n in out if n[1]):
-        key = json.dumps(_plain([node]))
-        rest[key] = [node[0], True, True, rest[key][3] + node[3]] if key in rest else node
-    return must + list(rest.values())
+    return out
+
+
+def _tokens(nodes: list) -> Iterator[str]:
+    for node in nodes:
+        if isinstance(node[0], str):
+            yield node[0]
+        else:
+            yield from _tokens(node[0])
 
 
 def merge_wrappers(parts: list[tuple[int, list]]) -> tuple[int, list]:
@@ -266,35 +303,105 @@ def merge_wrappers(parts: list[tuple[int, list]]) -> tuple[int, list]:
 def expression(wrapper: list) -> str:
     """A wrapper as text."""
     parts = []
-    for what, optional, repeated, _ in wrapper:
+    for what, optional, repeated, *_ in wrapper:
         inner = ("#TEXT" if what == "text" else what) if isinstance(what, str) else f"({expression(what)})"
         parts.append(inner + ("*" if optional and repeated else "+" if repeated else "?" if optional else ""))
     return " ".join(parts)
 
 
-def support(wrapper: list, token: str) -> int:
-    """How many segments have the token."""
-    return max((support(n[0], token) if isinstance(n[0], list) else n[3] * (n[0] == token) for n in wrapper), default=0)
-
-
 def streams(text: str) -> Iterator[list[str]]:
     lexer = Lexer(text)
     for segment in lexer.segments():
         yield [lexer.lines[k][2] for k in segment]
 
 
-#: Share of the segments with this beginning that must have code or log lines for their host's wrapper to be one of code.
+#: Share of the segments with a node that must have code or log lines for the node to be no markup at its host.
 CODE_SHARE = 0.3
 
 
-class Rules:
-    """What a host's wrappers say about beginnings that may be markup or not."""
+def leaves(wrapper: list, first: int = 0) -> list[tuple[str, bool, int]]:
+    """The tokens of a wrapper in order: (token, whether it is no markup there, first leaf of its repeated group)."""
+    out: list[tuple[str, bool, int]] = []
+    for what, _, repeated, seen, coded in wrapper:
+        at = first + len(out)
+        if isinstance(what, str):
+            out.append((what, coded > CODE_SHARE * seen, at))
+        else:
+            own = leaves(what, at)
+            # what the group as a whole says holds for its parts, which are aligned less often
+            out += [(t, coded > CODE_SHARE * seen, at if repeated else back) for t, _, back in own]
+    return out
 
-    def __init__(self, wrappers: dict[str, tuple[int, list]]):
-        self.plain = {t for t, (n, w) in wrappers.items() if max(support(w, "code"), support(w, "log")) > CODE_SHARE * n}
 
-    def structural(self, token: str) -> bool:
-        return token not in self.plain
+def bind(program: list[tuple[str, bool, int]], stream: tuple[str, ...]) -> list[int]:
+    """The leaf of a wrapper that parses each token of a segment; -1 for one that the wrapper doesn't have.
+
+    From a leaf the parse goes on to the leaf of the token that follows in the same repeated group, else to one of that
+    group again, else to the next behind it, else (what ``gathered`` has moved forward) to the first of all.
+    """
+    out, at = [], -1
+    for token in stream:
+        back = program[at][2] if at >= 0 else 0
+        ahead = next((k for k in range(at + 1, len(program)) if program[k][0] == token), -1)
+        inside = next((k for k in range(back, at + 1) if program[k][0] == token), -1) if at >= 0 else -1
+        if ahead >= 0 and (inside < 0 or (ahead == at + 1 and program[ahead][2] == back)):
+            at = ahead
+        elif inside >= 0:
+            at = inside
+        else:
+            found = next((k for k in range(len(program)) if program[k][0] == token), -1)
+            out.append(found)
+            continue
+        out.append(at)
+    return out
+
+
+class Rules:
+    """The wrappers of a host by opening token, as programs that parse its segments; without one, all is markup."""
+
+    def __init__(self, programs: dict[str, list]):
+        self.programs = {opener: [tuple(leaf) for leaf in program] for opener, program in programs.items()}
+        self.known: dict[tuple[str, ...], list[bool]] = {}
+
+    def plain(self, kinds: tuple[str, ...]) -> list[bool]:
+        """For each line of a segment, whether the node that it is bound to is no markup at this host."""
+        program = self.programs.get(kinds[0])
+        if program is None:
+            return [False] * len(kinds)
+        if kinds not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            self.known[kinds] = [k >= 0 and program[k][1] for k in bind(program, kinds)]
+        return self.known[kinds]
+
+
+#: Noncharacters that stand for the beginning of a table row and of a cell while a text is edited.
+ROW, CELL = "\ufdd0", "\ufdd1"
+
+
+def _rows(text: str) -> str:
+    """Rows of cells as lines, those of one table without blank lines between them."""
+    out, before = [], False
+    for line in text.split("\n"):
+        if ROW in line:
+            lead, _, row = line.partition(ROW)
+            if lead.strip():
+                out.append(lead.rstrip())
+                before = False
+            while before and not out[-1].strip():
+                out.pop()
+            cells = [c.strip() for c in row.replace(ROW, CELL).split(CELL)]
+            cells = cells[1:] if cells and not cells[0] else cells
+            if not before and out and out[-1].strip():
+                out.append("")
+            out.append("| " + " | ".join(cells) + " |")
+            if not before:
+                out.append("|" + " --- |" * len(cells))
+            before = True
+        else:
+            before = before and not line.strip()
+            out.append(line)
+    return "\n".join(out)
 
 
 class Document:
@@ -316,14 +423,16 @@ class Document:
         self._inline(covered)
 
     def clean(self) -> str:
-        """The text without markup: headings as #, items as -, cells parted by |, code fenced, formulas between $."""
+        """The text without markup: headings as #, items as -, table rows as cells between |, with a divider below the
+        first; code fenced, formulas between $."""
         out, at = [], 0
         for a, b, new in sorted(self.edits, key=lambda e: (e[0], -e[1])):
             if a < at:
                 continue
             out += [self.text[at:a], new]
             at = b
-        return regex.sub(r"\n{3,}", "\n\n", "".join([*out, self.text[at:]]).replace("\r\n", "\n")).strip()
+        whole = "".join([*out, self.text[at:]]).replace("\r\n", "\n")
+        return BLANK_LINES.sub("\n\n", _rows(whole) if ROW in whole else whole).strip()
 
     def _span(self, a: int, b: int, kind: str) -> None:
         whole = self.text[a:b]
@@ -334,73 +443,76 @@ class Document:
             body = whole.split("\n")[1:-1]
             self.edits.append((a, b, "```\n" + "\n".join(body) + "\n```"))
         elif kind in ("pre", "verbatim"):
-            body = regex.sub(r"^(?:<[^<>]*>|\\begin\{[^{}]*\}(?:\[[^\]\n]*\])?)|(?:</[^<>]*>|\\end\{[^{}]*\})$", "", whole, flags=regex.I)
+            body = BLOCK_ENDS.sub("", whole)
             if kind == "pre":
-                body = html.unescape(regex.sub(r"</?code\b[^<>]*>", "", body))
+                body = html.unescape(CODE_TAG.sub("", body))
             self.edits.append((a, b, "\n```\n" + body.strip("\n") + "\n```\n"))
         elif KINDS.get(kind) == "formula":
-            body = regex.sub(r"^(?:<math\b[^<>]*>|\\begin\{[^{}]*\}|\$\$|\\\[|\\\(|\$)|(?:</math\s*>|\\end\{[^{}]*\}|\$\$|\\\]|\\\)|\$)$", "", whole, flags=regex.I)
-            self.edits.append((a, b, f"${html.unescape(regex.sub(r'<[^<>]*>', '', body)).strip()}$"))
+            body = FORMULA_ENDS.sub("", whole)
+            self.edits.append((a, b, "$" + html.unescape(TAG.sub("", body)).strip() + "$"))
         else:
-            self.edits.append((a, b, regex.sub(r"^`+|`+$|^\\verb\*?.|</?nowiki>", "", whole)))
+            self.edits.append((a, b, INLINE_ENDS.sub("", whole)))
 
     def _segment(self, lines: list[tuple[int, int, str]]) -> None:
         kinds = [k for _, _, k in lines]
+        plain = self.rules.plain(tuple(kinds))
         # a beginning counts as structure where it opens the segment or follows other structure, never after prose
-        if all(k in ("indent", "item") for k in kinds) and not (self.list_before and "item" in kinds) and all(regex.match(r"[ ]{4}|\t", self.text[a:b]) for a, b, _ in lines):
-            if self.rules.structural("indent"):
+        if all(k in ("indent", "item") for k in kinds) and not (self.list_before and "item" in kinds) and all(INDENTED.match(self.text[a:b]) for a, b, _ in lines):
+            if not plain[0]:
                 self.found.add("code")
                 self.edits += [(lines[0][0], lines[0][0], "```\n"), (lines[-1][1], lines[-1][1], "\n```")]
             self.bare += [(a, b) for a, b, _ in lines]
             return
         bare = ("code", "log", "json") if not any(k in ("text", "markup") for k in kinds) else ("log", "json")
-        plain_opener = not self.rules.structural(kinds[0])
         before = "blank"
         for n, (a, b, kind) in enumerate(lines):
             after = kinds[n + 1] if n + 1 < len(kinds) else "blank"
             line = self.text[a:b]
-            open_ = before not in ("text", "code", "log", "json", "indent") and not plain_opener
+            open_ = before not in ("text", "code", "log", "json", "indent") and not plain[n]
             coded = after == "code" or before == "code"
-            if kind in bare or (plain_opener and kind in ("code", "indent", "atx")):
+            if kind in bare or (plain[n] and kind in ("code", "indent", "atx")):
                 self.bare.append((a, b))
             elif kind == "atx" and open_ and not coded:
                 level = len(line.lstrip()) - len(line.lstrip().lstrip("#"))
                 many = level == 1 and (before == "atx" or after == "atx") and kinds.count("atx") > 1
-                self._line("list" if many else "heading", a, b, ("- " if many else "#" * level + " ") + regex.sub(r"[ \t]#+[ \t]*$", "", line.strip().lstrip("#")).strip(), line)
+                self._line("list" if many else "heading", a, b, ("- " if many else "#" * level + " ") + HEAD_TAIL.sub("", line.strip().lstrip("#")).strip(), line)
                 kind = "item" if many else "atx"
             elif kind == "wikihead" and open_:
                 level = len(line) - len(line.lstrip("="))
                 self._line("heading", a, b, "#" * level + " " + line.strip().strip("=").strip(), line)
-            elif kind in ("underline", "rule") and before == "text" and n == 1 and regex.fullmatch(r"\s*(?:=+|-+)\s*", line) and open_text(lines[0], self.text):
+            elif kind in ("underline", "rule") and before == "text" and n == 1 and UNDERLINE.fullmatch(line) and open_text(lines[0], self.text):
                 self._line("heading", a, b, "", line)
                 self.edits.append((lines[0][0], lines[0][0], "# " if "=" in line else "## "))
             elif kind == "rule" and open_:
                 self._line("other", a, b, "", line)
             elif kind in ("item", "wikiitem") and open_ and (kind == "item" or not line.startswith(":") or before == "wikiitem"):
-                mark = regex.match(r"[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?|[*#;:]+[ \t]*", line)
+                mark = ITEM_MARK.match(line)
                 depth = (len(line) - len(line.lstrip())) // 2 if kind == "item" else len(mark[0].strip()) - 1
                 self.found.add("list")
                 self.edits.append((a, a + mark.end(), "  " * depth + "- "))
             elif kind == "wikitable" and (open_ or before in ("row", "wikitable")):
                 self.found.add("table")
                 kind = "row"
-                self.edits.append((a, b, ""))
+                mark = WIKI_ROW.match(line)
+                if mark and mark["caption"] is None:
+                    self.edits += [(a, a + mark.end(), ROW + CELL), *((a + m.start(), a + m.end(), CELL) for m in WIKI_CELL.finditer(line, mark.end()))]
+                else:
+                    self.edits.append((a, a + mark.end() if mark else min(b + 1, len(self.text)), ""))
             elif kind == "divider" and before == "row":
                 self.found.add("table")
-                self.edits.append((a, b, ""))
             elif kind == "quote" and (open_ or (before == "text" and (ROLE.match(line) or PROSE_END.search(self.text[lines[n - 1][0] : lines[n - 1][1]])))):
                 role = ROLE.match(line)
                 at = a + (role.end() if role else 0)
                 self.found.add("other")
-                self.edits.append((at, at + regex.match(r"[ ]{0,3}>[ ]?", self.text[at:b]).end(), ""))
+                self.edits.append((at, at + QUOTE.match(self.text[at:b]).end(), ""))
             before = kind
 
     def _line(self, element: str, a: int, b: int, new: str, line: str) -> None:
         self.found.add(element)
         if INLINE.search(line):  # inline marks of the line are edited on their own
-            lead = regex.match(r"[ \t]*[#=]+[ \t]*", line)
+            lead = HEAD_LEAD.match(line)
             if lead and new:
-                self.edits.append((a, a + lead.end(), regex.match(r"[#\- ]*", new)[0]))
+                self.edits.append((a, a + lead.end(), new[: len(new) - len(new.lstrip("#- "))]))
         else:
             self.edits.append((a, b, new))
 
@@ -428,6 +540,21 @@ class Document:
             at = m.start("ctext") if m["command"] and m.start("ctext") >= 0 and m["ctext"] else m.start("htext") if m["head"] and m["htext"] else b
             at = max(at, a + 1)
 
+    def _tabular(self, start: int, name: str) -> None:
+        """The rows and cells of a LaTeX table that begins here."""
+        end = self.text.find(f"\\end{{{name}", start)
+        at = start
+        while 0 <= at < end:
+            m = LATEX_ROW.search(self.text, at, end)
+            stop = m.start() if m else end
+            first = LATEX_RULE.match(self.text, at, stop).end()
+            if self.text[first:stop].strip():
+                self.edits.append((first, first, "\n" + ROW + CELL))
+                self.edits += [(c.start(), c.end(), CELL) for c in LATEX_CELL.finditer(self.text, first, stop)]
+            if m:
+                self.edits.append((m.start(), m.end(), ""))
+            at = m.end() if m else end
+
     def _mark(self, m: regex.Match) -> None:
         a, b = m.span()
         if m["tag"]:
@@ -435,15 +562,17 @@ class Document:
             if self.text[max(0, a - 12) : a].lstrip().startswith("#include"):
                 return
             closing = m[0].startswith("</")
-            if regex.fullmatch("h[1-6]", name):
+            if HEAD_TAG.fullmatch(name):
                 self.found.add("heading")
-                self.edits.append((a, b, "\n" if closing else "\n" + "#" * int(name[1]) + " "))
+                self.edits.append((_before_spaces(self.text, a), b, "\n") if closing else (a, SPACES.match(self.text, b).end(), "\n\n" + "#" * int(name[1]) + " "))
             elif name in LIST_TAGS.split():
                 self.found.add("list")
-                self.edits.append((a, b, "\n- " if name in ("li", "dt", "dd") and not closing else ""))
+                opens = name in ("li", "dt", "dd") and not closing
+                self.edits.append((a, SPACES.match(self.text, b).end(), "\n- ") if opens else (a, b, "\n\n" if name in ("ul", "ol", "dl") and closing else ""))
             elif name in TABLE_TAGS.split():
                 self.found.add("table")
-                self.edits.append((a, b, "" if closing else "\n" if name == "tr" else " | " if name in ("td", "th") else ""))
+                cell = name in ("td", "th", "tr") and not closing
+                self.edits.append((_before_spaces(self.text, a) if cell else a, SPACES.match(self.text, b).end() if cell else b, "\n" + ROW if name == "tr" and cell else CELL if cell else "\n\n" if name == "table" else ""))
             else:
                 self.found.add({"math": "formula", "pre": "code", "syntaxhighlight": "code"}.get(name, "other"))
                 self.edits.append((a, b, "\n" if name in ("br", "p", "div") else ""))
@@ -458,6 +587,8 @@ class Document:
             name = m["ename"]
             self.found.add("list" if name in LIST_ENVIRONMENTS.split() else "table" if name in TABLE_ENVIRONMENTS.split() else "formula" if name in MATH_ENVIRONMENTS.split() else "code" if name in CODE_ENVIRONMENTS.split() else "other")
             self.edits.append((a, b, ""))
+            if name in TABLE_ENVIRONMENTS.split() and name != "table" and m[0].startswith("\\begin"):
+                self._tabular(b, name)
         elif m["head"]:
             self.found.add("heading")
             self.edits += [(a, m.start("htext"), "#" * (1 + HEADING_COMMANDS.split().index(m["level"].lower())) + " "), (m.end("htext"), b, "")]
@@ -472,56 +603,74 @@ class Document:
             group = next((g for g in ("ctext", "alt", "wtext", "wtarget", "dtext", "ltext", "rtext", "xtext", "qtext", "stext", "utext", "ktext", "etext", "itext") if m[g]), None)
             if m["command"] and m["cname"] in ("label", "cite", "ref", "citep", "citet", "vspace", "hspace", "documentclass", "usepackage"):
                 group = None
-            if m["wiki"] and regex.match(r"(?:category|file|image):", m["wtarget"], regex.I):
+            if m["wiki"] and NO_TEXT.match(m["wtarget"]):
                 group = None
             if m["define"] and not m["dname"].startswith("^"):
                 group = None
             self.edits += [(a, m.start(group), ""), (m.end(group), b, "")] if group else [(a, b, "")]
 
 
+def _before_spaces(text: str, at: int) -> int:
+    """Where the white space that ends here begins."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def open_text(line: tuple[int, int, str], text: str) -> bool:
     return line[2] == "text" and not PROSE_END.search(text[line[0] : line[1]])
 
 
-WRAPPER = T.StructType([T.StructField("host", T.StringType()), T.StructField("opener", T.StringType()), T.StructField("segments", T.LongType()), T.StructField("wrapper", T.StringType())])
+FORM = T.StructType([T.StructField("host", T.StringType()), T.StructField("opener", T.StringType()), T.StructField("segments", T.LongType()), T.StructField("wrapper", T.StringType())])
 
 
-def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wrappers of a task's own documents by host and opening token."""
-    forms: dict[tuple[str, str], dict[str, int]] = {}
-    held = 0
+def _form_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct forms of a task's own segments with their counts; counts of one form may come in parts."""
+    forms: Counter = Counter()
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = []
-        for (host, opener), counts in forms.items():
-            n, w = merge_wrappers([(k, [_weighted(x, k) for x in json.loads(form)]) for form, k in counts.items()])
-            rows.append((host, opener, n, json.dumps(w)))
+    def flush() -> pa.RecordBatch:
+        rows = [(host, stream[0], n, json.dumps(gathered(repeats(list(stream))))) for (host, stream), n in forms.items()]
         forms.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=WRAPPER.names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=FORM.names)
 
     for batch in batches:
         for host, text in zip(batch.column("host").to_pylist(), batch.column("text").to_pylist()):
-            for stream in streams(text):
-                own = forms.setdefault((host, stream[0]), {})
-                form = json.dumps(_folded(repeats(stream)))
-                held += form not in own
-                own[form] = own.get(form, 0) + 1
-            if held > 20_000:
-                yield from flush()
-                held = 0
-    yield from flush()
+            forms.update((host, tuple(stream)) for stream in streams(text))
+            if len(forms) > 50_000:
+                yield flush()
+    if forms:
+        yield flush()
 
 
 def _weighted(node: list, n: int) -> list:
     what = [_weighted(x, n) for x in node[0]] if isinstance(node[0], list) else node[0]
-    return [what, node[1], node[2], n]
+    return [what, node[1], node[2], n * node[3], n * node[4]]
+
 
+def _align_task(weigh: bool):
+    """Aligns rows sorted by host, opener and salt, one group after the other, keeping one wrapper in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        key, count, wrapper = None, 0, []
+        for batch in batches:
+            for host, opener, salt, n, form in zip(*(batch.column(c).to_pylist() for c in ("host", "opener", "salt", "segments", "wrapper"))):
+                nodes = json.loads(form)
+                nodes = [_weighted(x, n) for x in nodes] if weigh else nodes
+                if (host, opener, salt) == key:
+                    count, wrapper = count + n, align(wrapper, nodes)
+                    continue
+                if key is not None:
+                    rows.append((key[0], key[1], count, json.dumps(wrapper)))
+                key, count, wrapper = (host, opener, salt), n, nodes
+            if len(rows) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=FORM.names)
+                rows = []
+        if key is not None:
+            rows.append((key[0], key[1], count, json.dumps(wrapper)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=FORM.names)
 
-def _merge(rows: pa.Table) -> pa.Table:
-    parts = [(n, json.loads(w)) for n, w in zip(rows["segments"].to_pylist(), rows["wrapper"].to_pylist())]
-    n, w = merge_wrappers(parts)
-    return pa.table([rows["host"].slice(0, 1), rows["opener"].slice(0, 1), pa.array([n], pa.int64()), pa.array([json.dumps(w)])], names=WRAPPER.names)
+    return run
 
 
 def host_of(uri: F.Column) -> F.Column:
@@ -529,20 +678,26 @@ def host_of(uri: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+#: Parts in which the forms of one host and opener are aligned at first.
+SALTS = 16
+
+
 def wrappers(documents: DataFrame, text: str = "text", uri: str = "source_uri") -> DataFrame:
     """The wrappers of every host: (host, opener, segments, wrapper), one for each token that opens segments there.
 
-    A document's token stream is cut at blank lines; runs of equal groups become one repeated group. The streams of
-    one host and opening token are then aligned one after another: matches stay, what only one side has becomes
-    optional, text is a slot. Each task aligns its own documents and sends one wrapper per host and opener (folded,
-    so that its length is bounded); these are merged by eight salts first, then into one, and so however many rows a
-    host has.
+    A document's token stream is cut at blank lines; runs of equal groups become one repeated group. The distinct
+    forms of one host and opening token are counted and then aligned, the most frequent first: matches stay, what
+    only one side has becomes optional, text is a slot. They are aligned in SALTS parts by the hash of the form and
+    the parts then with each other, so a host with a third of all rows is spread, and the same documents give the
+    same wrappers however they are split. A task holds one wrapper at a time.
     """
     narrow = spread(documents.select(host_of(F.col(uri)).alias("host"), F.col(text).alias("text")).where("text is not null"))
-    own = narrow.mapInArrow(_induce, WRAPPER)
-    salted = own.withColumn("salt", F.pmod(F.hash("wrapper"), F.lit(8)))
-    part = salted.groupBy("host", "opener", "salt").applyInArrow(_merge, WRAPPER)
-    return part.groupBy("host", "opener").applyInArrow(_merge, WRAPPER)
+    forms = narrow.mapInArrow(_form_task, FORM).groupBy("host", "opener", "wrapper").agg(F.sum("segments").alias("segments"))
+    salted = forms.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int"))
+    order = [F.col("host"), F.col("opener"), F.col("salt"), F.desc("segments"), F.col("wrapper")]
+    part = salted.repartition("host", "opener", "salt").sortWithinPartitions(*order).select("host", "opener", "salt", "segments", "wrapper").mapInArrow(_align_task(True), FORM)
+    whole = part.withColumn("salt", F.lit(0)).repartition("host", "opener").sortWithinPartitions(*order)
+    return whole.select("host", "opener", "salt", "segments", "wrapper").mapInArrow(_align_task(False), FORM)
 
 
 OUT = [T.StructField("elements", T.ArrayType(T.StringType())), T.StructField("clean_text", T.StringType())]
@@ -554,8 +709,9 @@ def clean_markup(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     ``elements`` is a sorted array of heading, list, table, code, formula and other. Headings come out as lines of
     #, items as -, table cells between |, code between ```, formulas between $; other marks are removed and their
     text is kept. What stands inside code is left as it is; program code without block marks, logs, JSON syntax,
-    comparison signs, prices, paths and identifiers aren't markup. Which of these a line is, where its beginning
-    leaves it open, its host's wrappers say (see ``wrappers``). A null text gives a row with nulls, an empty one no
+    comparison signs, prices, paths and identifiers aren't markup. Where the beginning of a line leaves it open which
+    of these it is, the segment is parsed by its host's wrapper (see ``wrappers`` and ``bind``), and the node that the
+    line is bound to decides: it is no markup where this node stands among code. A null text gives a row with nulls, an empty one no
     elements; repeated rows come out as often as they stand; null addresses are one host.
 
     Texts are read twice and never shuffled where the wrappers are small enough for Spark to broadcast them; else
@@ -563,24 +719,25 @@ def clean_markup(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     """
     kind = documents.schema[doc].dataType
     induced = induced if induced is not None else wrappers(documents, text, uri)
-    # what a document needs of its host: the openers that are no markup there
-    rules = induced.mapInArrow(_rule_task, "host string, opener string").groupBy("host").agg(F.concat_ws(" ", F.array_sort(F.collect_set("opener"))).alias("plain"))
+    # what a document needs of its host: the wrappers that have nodes which are no markup
+    rules = induced.mapInArrow(_program_task, "host string, program string").groupBy("host").agg(F.concat(F.lit("{"), F.concat_ws(", ", F.array_sort(F.collect_set("program"))), F.lit("}")).alias("programs"))
     narrow = spread(documents.select(F.col(doc).alias("doc"), host_of(F.col(uri)).alias("host"), F.col(text).alias("text")))
-    joined = narrow.join(rules, "host", "left").select("doc", "text", F.coalesce("plain", F.lit("")).alias("plain"))
+    joined = narrow.join(rules, "host", "left").select("doc", "text", F.coalesce("programs", F.lit("{}")).alias("programs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Rules] = {}
         for batch in batches:
             elements, cleaned = [], []
-            for whole, plain in zip(batch.column("text").to_pylist(), batch.column("plain").to_pylist()):
+            for whole, programs in zip(batch.column("text").to_pylist(), batch.column("programs").to_pylist()):
                 if whole is None:
                     elements.append(None)
                     cleaned.append(None)
                     continue
-                if plain not in known:
-                    known[plain] = Rules({})
-                    known[plain].plain = set(plain.split())
-                parsed = Document(whole, known[plain])
+                if programs not in known:
+                    if len(known) > 500:
+                        known.clear()
+                    known[programs] = Rules(json.loads(programs))
+                parsed = Document(whole, known[programs])
                 elements.append(sorted(parsed.found))
                 cleaned.append(parsed.clean())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(elements, pa.list_(pa.string())), pa.array(cleaned, pa.string())], names=["doc", "elements", "clean_text"])
@@ -588,8 +745,9 @@ def clean_markup(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     return joined.mapInArrow(run, T.StructType([T.StructField("doc", kind), *OUT])).withColumnRenamed("doc", doc)
 
 
-def _rule_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _program_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(h, o) for h, o, n, w in zip(*(batch.column(c).to_pylist() for c in WRAPPER.names)) if not Rules({o: (n, json.loads(w))}).structural(o)]
+        made = [(h, o, leaves(json.loads(w))) for h, o, w in zip(*(batch.column(c).to_pylist() for c in ("host", "opener", "wrapper")))]
+        rows = [(h, f"{json.dumps(o)}: {json.dumps(p)}") for h, o, p in made if any(plain for _, plain, _ in p)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["host", "opener"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["host", "program"])

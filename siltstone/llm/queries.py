@@ -10,20 +10,32 @@ from pyspark.sql import functions as F
 from siltstone.llm.distinctive import current_records, distinctive_terms
 from siltstone.llm.frequency import current_postings, term_frequencies
 from siltstone.llm.fusion import fused_ranking
-from siltstone.llm.markup import clean_markup
+from siltstone.llm.markup import clean_markup, wrappers
 from siltstone.llm.mixing import mix, normal_source
 from siltstone.llm.neighbours import current_vectors, nearest
 from siltstone.llm.packing import pack
 from siltstone.llm.sentences import fit, sentences
 from siltstone.llm.splitting import split_oversized
 from siltstone.llm.topn import top_n_per_group
-from siltstone.session import load
+from siltstone.session import load, stored
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return clean_markup(load(spark, root, "documents")).select("doc_id", F.explode("elements").alias("element"))
 
 
+def p1_clean_text(spark: SparkSession, root: str) -> DataFrame:
+    """Every text cleaned, and the clean text parsed once more: whether it has no residue besides the structures that are
+    kept, whether these are the same as before, and whether a second cleaning changes nothing."""
+    docs = load(spark, root, "documents").select("doc_id", "source_uri", "text")
+    induced = stored(wrappers(docs))
+    once = clean_markup(docs.withColumn("doc", F.struct("doc_id", "source_uri")), "doc", induced=induced).where("clean_text is not null")
+    before = once.select(F.struct("doc.*", "elements", "clean_text").alias("doc"), "doc.source_uri", F.col("clean_text").alias("text"))
+    twice = clean_markup(before, "doc", induced=induced)
+    kept = F.array_remove("doc.elements", "other")
+    return twice.select("doc.doc_id", (~F.array_contains("elements", "other")).alias("no_residue"), (F.array_remove("elements", "other") == kept).alias("structure_kept"), (F.col("clean_text") == F.col("doc.clean_text")).alias("stable"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return top_n_per_group(load(spark, root, "vector_hits"), load(spark, root, "search_queries")).select("query_id", "chunk_id")
 
@@ -216,6 +228,7 @@ d AS (SELECT term, count(*) AS df, sum(tf) AS seen FROM f GROUP BY 1)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_clean_text": "SELECT doc_id, true AS no_residue, true AS structure_kept, true AS stable FROM documents WHERE text IS NOT NULL",
         "p2_found": SQL_P2 + "SELECT query_id, chunk_id FROM r WHERE place <= n",
         "p2_places": SQL_P2 + "SELECT query_id, chunk_id, place FROM r WHERE place <= n",
         "p3_found": SQL_P3 + "SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE p <= 5 AND c > 0.85",

@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from siltstone.llm.markup import Rules, Document, align, clean_markup, expression, merge_wrappers, repeats, wrappers
+from siltstone.llm.markup import Document, Rules, align, bind, clean_markup, expression, gathered, leaves, merge_wrappers, repeats, wrappers
 from siltstone.llm.sentences import HiddenEvents, contexts, enclosed, fit, gaps, sentences, word_rows
 from siltstone.session import load
 
@@ -60,6 +60,50 @@ def test_wrappers_align():
     assert align(a, a)[0][3] == 2
 
 
+def test_wrappers_parse_segments():
+    _, w = merge_wrappers([(5, gathered(repeats(["item", "text", "item", "text", "item", "text"]))), (1, gathered(repeats(["item", "text", "table"])))])
+    program = leaves(w)
+    assert [t for t, _, _ in program][:2] == ["item", "text"]
+    # a repeated group is bound again and again to its own nodes, what comes behind it to those behind
+    bound = bind(program, ("item", "text", "item", "text", "table", "quote"))
+    assert bound[:2] == bound[2:4] and program[bound[4]][0] == "table" and bound[5] == -1
+    assert bind(leaves(repeats(["atx", "code", "atx", "code"])), ("atx", "code", "atx")) == [0, 1, 0]
+
+
+def test_nodes_among_code_are_no_markup():
+    coded = leaves(repeats(["atx", "code", "atx", "code"]))
+    assert Rules({"atx": coded}).plain(("atx", "text")) == [True, False]
+    assert Rules({}).plain(("atx", "code")) == [False, False]
+    assert Document("# note\n\ntext", Rules({"atx": coded})).found == set()
+
+
+def test_wrappers_do_not_depend_on_partitions(spark, small):
+    docs = load(spark, small, "documents")
+    a, b = ({tuple(r) for r in wrappers(docs.repartition(n)).collect()} for n in (1, 7))
+    assert a == b and len(a) > 10
+
+
+def test_tables_come_out_as_rows():
+    want = "| a | b |\n| --- | --- |\n| 1 | 2 |\n\ntail"
+    for text in (
+        '{| class="wikitable"\n! a !! b\n|-\n| 1 || 2\n|}\n\ntail',
+        "<table><tr><th>a</th>\n<th>b</th></tr><tr><td>1<td>2</table>tail",
+        "\\begin{tabular}{ll}\n\\hline\na & b \\\\\n\\hline\n1 & 2\n\\end{tabular}\n\ntail",
+    ):
+        assert parsed(text) == ({"table"}, want), text
+    assert parsed("| a | b |\n|---|---|\n| 1 | 2 |")[1] == "| a | b |\n|---|---|\n| 1 | 2 |"
+    assert parsed("<h2>\n  Head\n</h2><ol><li>\n one</li></ol>next")[1] == "## Head\n\n- one\n\nnext"
+
+
+def test_clean_text_is_clean(spark, small):
+    docs = load(spark, small, "documents")
+    once = clean_markup(docs).join(docs.select("doc_id", "source_uri"), "doc_id").where("clean_text is not null").withColumnRenamed("elements", "before")
+    induced = wrappers(docs)
+    twice = clean_markup(once.selectExpr("doc_id", "source_uri", "clean_text as text"), induced=induced).selectExpr("doc_id", "elements", "clean_text as again")
+    for r in once.join(twice, "doc_id").collect():
+        assert r["clean_text"] == r["again"] and r["elements"] == [e for e in r["before"] if e != "other"]
+
+
 def test_hosts_decide_on_ambiguous_lines(spark):
     docs = [(i, f"x://code-host/{i}", "# note\nexport A=$HOME/b\nfor f in *.i; do cp; done;") for i in range(30)]
     docs += [(100, "x://code-host/1", "# drop files"), (200, "x://text-host/1", "# drop files"), (300, None, None), (301, None, ""), (302, "broken", "**x**"), (302, "broken", "**x**")]
