@@ -310,11 +310,10 @@ SELECT query, count(*) AS candidates, count(*) FILTER (gap <= 12) AS near FROM c
     "bit_correlations": CORR + " SELECT a::BIGINT AS a, b::BIGINT AS b, round(c, 6) AS correlation FROM k",
     "participation_ratio": CORR + ", n AS (SELECT (1 + sqrt(1 + 8 * count(*))) / 2 AS n, sum(c * c) AS f FROM k) SELECT round(n * n / (n + 2 * f), 4) AS ratio FROM n",
     "pairwise_hamming": SIGNS + ", d AS (SELECT bit_count(xor(x.word, y.word)) AS d FROM s x JOIN s y ON x.id < y.id) SELECT count(*) AS pairs, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS deviation, min(d)::BIGINT AS least, max(d)::BIGINT AS most FROM d",
-    "cosine_hamming_correlation": _top(COSINE) + f", z AS (SELECT id, {WORD} AS word FROM e) SELECT round(corr(score, -bit_count(xor(x.word, y.word))), 6) AS pearson FROM r JOIN z x ON x.id = r.item JOIN z y ON y.id = r.query WHERE rank <= 10",
+    "cosine_hamming_correlation": f"{SIGNS} SELECT round(corr({COSINE}, -{GAP}), 6) AS pearson FROM q JOIN a USING (query), e JOIN s USING (id) WHERE query <> e.id",
     "scalar_code_entropy": CODES + ", n AS (SELECT dim, code, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT dim, n / sum(n) OVER (PARTITION BY dim) AS p FROM n) SELECT dim, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY 1",
     "scalar_code_centers": CODES + " SELECT dim, code, round(avg(x), 6) AS center, count(*) AS n FROM c GROUP BY ALL",
-    "weighted_hamming_topk": SIGNS + f""", t AS (SELECT unnest(range(0, 8)) AS band),
-c AS (SELECT DISTINCT query, s.id AS item, xor(word, qword) AS x FROM a, s, t WHERE query <> s.id AND bit_count(((xor(word, qword) >> (band * 8)) & 255)::BIGINT) <= CASE WHEN band <= 0 THEN 1 ELSE 0 END),
+    "weighted_hamming_topk": SIGNS + """, c AS (SELECT query, id AS item, xor(word, qword) AS x FROM a, s WHERE query <> id),
 sc AS (SELECT query, item, round(-(bit_count(x & 6148914691236517205) * (2 / 3::DOUBLE) + bit_count(x & -6148914691236517206) * (4 / 3::DOUBLE)), 6) AS score FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM sc) SELECT query, item, score, rank FROM r WHERE rank <= 10""",
     "intraband_correlation": CORR + " SELECT (a // 8)::INT AS band, round(avg(abs(c)), 6) AS correlation FROM k WHERE a // 8 = b // 8 GROUP BY 1",
