@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that only space a query.
@@ -34,17 +34,41 @@ def space_terms(text: Column) -> Column:
 def token_kind(token: Column) -> Column:
     """path, number, identifier or word, decided on the token as it stands in the text."""
     return (
-        F.when(token.rlike(r"[/\\]"), "path")
+        F.when(token.contains("/") | token.contains("\\"), "path")
         .when(token.rlike(r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), "number")
         .when(token.rlike(r"[_\-.:]|[a-z0-9][A-Z]|[A-Z]{2}[a-z]"), "identifier")
         .otherwise("word")
     )
 
 
+def run_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row per run, with the columns of ``docs`` but the text: raw, kind and token, which has no trailing punctuation
+    unless it is a number; runs of punctuation alone are gone.
+
+    The runs are rows before anything is decided on them, so that each kind is found once, in compiled code.
+    """
+    others = [c for c in docs.columns if c != text]
+    runs = docs.select(*others, F.explode(F.regexp_extract_all(F.col(text), F.lit(RUN), 0)).alias("raw"))
+    kinds = runs.withColumn("kind", token_kind(F.col("raw")))
+    # only a last sign can be trailing punctuation
+    tail = F.substring("raw", -1, 1).isin(*".:,;!?") & (F.col("kind") != "number")
+    return kinds.withColumn("token", F.when(tail, F.regexp_replace("raw", TRAILING, "")).otherwise(F.col("raw"))).where("token <> ''")
+
+
+def standard_token_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row per standard token, in the column term: runs in lower case and the parts of identifiers."""
+    runs = run_rows(docs, text)
+    none = F.array().cast("array<string>")
+    parts = F.when(F.col("kind") == "identifier", identifier_parts(F.col("token"))).otherwise(none)
+    others = [c for c in runs.columns if c not in ("raw", "kind", "token")]
+    return runs.select(*others, F.explode(F.concat(F.array(ascii_lower(F.col("token"))), parts)).alias("term"))
+
+
 def standard_runs(text: Column) -> Column:
     """Array of (raw, token, kind): runs, without trailing punctuation unless they are numbers; empty ones are gone."""
     runs = F.coalesce(F.regexp_extract_all(text, F.lit(RUN), 0), F.array().cast("array<string>"))
-    made = F.transform(runs, lambda r: F.struct(r.alias("raw"), F.when(token_kind(r) == "number", r).otherwise(F.regexp_replace(r, TRAILING, "")).alias("token"), token_kind(r).alias("kind")))
+    kinds = F.transform(runs, lambda r: F.struct(r.alias("raw"), token_kind(r).alias("kind")))
+    made = F.transform(kinds, lambda m: F.struct(m["raw"].alias("raw"), F.when(m["kind"] == "number", m["raw"]).otherwise(F.regexp_replace(m["raw"], TRAILING, "")).alias("token"), m["kind"].alias("kind")))
     return F.filter(made, lambda m: m["token"] != "")
 
 

@@ -49,58 +49,64 @@ def dictionary(counts: DataFrame) -> DataFrame:
     return ranged.withColumn("local", local).join(before.select("part", "before"), "part").select("term", (F.col("before") + F.col("local")).alias("token_id"), "df")
 
 
-def bm25(counts: DataFrame, stats: DataFrame, query_terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(counts: DataFrame, stats: DataFrame, query_terms: DataFrame, allowed: DataFrame | None = None, terms: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query, doc, score): BM25 of every document that shares a term with a query.
 
     ``query_terms`` is (query, term) with repeated terms as often as they stand, each of which counts, and k1 and b
     where a query has its own. ``allowed``, (doc) or (query, doc), filters without changing the corpus statistics.
-    Only terms that some query has reach the join, and the corpus statistics are one row.
+    ``terms`` is (term, df) where an index has it. Only terms that some query has reach the join, and the corpus
+    statistics are one row.
     """
     own = [c for c in ("k1", "b") if c in query_terms.columns]
     wanted = query_terms.groupBy("query", "term").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in own])
-    k1 = F.coalesce("k1", F.lit(K1)) if "k1" in own else F.lit(K1)
-    b = F.coalesce("b", F.lit(B)) if "b" in own else F.lit(B)
-    used = counts.join(query_terms.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
+    k1_ = F.coalesce("k1", F.lit(k1)) if "k1" in own else F.lit(k1)
+    b_ = F.coalesce("b", F.lit(b)) if "b" in own else F.lit(b)
+    asked = query_terms.select("term").distinct()
+    used = counts.select("term", "doc", "tf").join(asked, "term", "left_semi")
+    df = used.groupBy("term").agg(F.count("*").alias("df")) if terms is None else terms.select("term", "df").join(asked, "term", "left_semi")
     whole = corpus_stats(stats)
-    hits = wanted.join(used, "term").join(df, "term")
+    hits = wanted.join(df, "term").join(used, "term")
     if allowed is not None:
         hits = hits.join(allowed, [c for c in ("query", "doc") if c in allowed.columns], "left_semi")
     hits = hits.join(stats.select("doc", "token_count"), "doc").crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("token_count") / F.col("avgdl")))
+    part = F.col("times") * idf * F.col("tf") * (k1_ + 1) / (F.col("tf") + k1_ * (1 - b_ + b_ * F.col("token_count") / F.col("avgdl")))
     return hits.groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def keyword_overlap(counts: DataFrame, query_terms: DataFrame) -> DataFrame:
     """(query, doc, score): how many distinct terms a query and a document share."""
-    return query_terms.select("query", "term").distinct().join(counts, "term").groupBy("query", "doc").agg(F.count("*").alias("score"))
+    return query_terms.select("query", "term").distinct().join(counts.select("term", "doc"), "term").groupBy("query", "doc").agg(F.count("*").alias("score"))
 
 
-def unit_weights(counts: DataFrame) -> DataFrame:
+def unit_weights(counts: DataFrame, norms: DataFrame | None = None) -> DataFrame:
     """(doc, term, weight): term frequencies divided by the document's length as a vector; sparse rows throughout."""
-    norm = counts.groupBy("doc").agg(F.sqrt(F.sum(F.col("tf").cast("double") * F.col("tf"))).alias("norm"))
-    return counts.join(norm, "doc").select("doc", "term", (F.col("tf") / F.col("norm")).alias("weight"))
+    if norms is None:
+        norms = counts.groupBy("doc").agg(F.sqrt(F.sum(F.col("tf").cast("double") * F.col("tf"))).alias("norm"))
+    return counts.join(norms.select("doc", "norm"), "doc").select("doc", "term", (F.col("tf") / F.col("norm")).alias("weight"))
 
 
-def bow_cosine(counts: DataFrame, query_counts: DataFrame) -> DataFrame:
+def bow_cosine(counts: DataFrame, query_counts: DataFrame, norms: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(query, doc, score): cosine of bags of words for the pairs that share a term; all other pairs have 0.
 
-    Terms beyond the corpus vocabulary are dropped before a query is scaled to length 1.
+    Terms beyond the corpus vocabulary are dropped before a query is scaled to length 1. ``norms`` (doc, norm) and
+    ``terms`` (term) come from an index where there is one.
     """
-    known = query_counts.join(counts.select("term").distinct(), "term", "left_semi")
+    known = query_counts.join((counts if terms is None else terms).select("term").distinct(), "term", "left_semi")
     weights = unit_weights(known.select(F.col("query").alias("doc"), "term", "tf")).select(F.col("doc").alias("query"), "term", F.col("weight").alias("w"))
-    return weights.join(unit_weights(counts), "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    used = counts.select("term", "doc", "tf")
+    used = used if norms is None else used.join(query_counts.select("term").distinct(), "term", "left_semi")
+    return weights.join(unit_weights(used, norms), "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
-def bow_cosine_top(counts: DataFrame, query_counts: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def bow_cosine_top(counts: DataFrame, query_counts: DataFrame, docs: DataFrame, k: int, norms: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """Top k with zero scores filling up: only the k lowest ids can ever be needed for that, so no pairs are made."""
-    hits = bow_cosine(counts, query_counts).withColumn("score", F.round("score", 6))
+    hits = bow_cosine(counts, query_counts, norms, terms).withColumn("score", F.round("score", 6))
     # a query's hits hide at most as many of the lowest ids as it has among its own top rows
     spare = docs.select("doc").orderBy("doc").limit(2 * k)
     best = top_k(hits.where("score > 0"), "query", "doc", "score", k).drop("rank")
-    queries = hits.select("query").distinct()
-    fill = queries.crossJoin(F.broadcast(spare)).join(best.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    known = query_counts.join((counts if terms is None else terms).select("term").distinct(), "term", "left_semi")
+    fill = known.select("query").distinct().crossJoin(F.broadcast(spare)).join(best.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(best.unionByName(fill), "query", "doc", "score", k)
 
 
@@ -109,20 +115,26 @@ def metadata_match(metadata: Column, filters: Column) -> Column:
     return F.coalesce(F.forall(filters, lambda f: F.coalesce(metadata[f["filter_key"]] == f["filter_value"], F.lit(False))), F.lit(True))
 
 
-def phrase_matches(positions: DataFrame, query_terms: DataFrame, slack: int = 0) -> DataFrame:
+def phrase_matches(positions: DataFrame, query_terms: DataFrame, slack: int = 0, places: int = 3) -> DataFrame:
     """(query, doc, hits): places where a query's terms stand in order, with up to ``slack`` more between neighbours.
 
-    ``query_terms`` is (query, place, term). Each step joins on document and shifts, so the rows never exceed the
-    positions of the phrase's first term that are still alive, times the slack.
+    ``query_terms`` is (query, place, term), places from 0 to at most ``places`` - 1; a hit is a place of the last
+    term that is reached from the first over all others. Each step joins on the exact place that the next term must
+    have, for each of the slack + 1 that it may have, so the rows never exceed the places of the terms asked for times
+    slack + 1.
     """
     asked = query_terms.select("term").distinct()
     spread = positions.join(asked, "term", "left_semi").select("doc", "term", F.explode("positions").alias("at"))
-    terms = query_terms.groupBy("query").agg(F.expr("transform(array_sort(collect_list(struct(place, term))), x -> x.term)").alias("terms"))
+    sizes = query_terms.groupBy("query").agg(F.count("*").alias("size"))
     wanted = query_terms.join(spread, "term").select("query", "place", "doc", "at")
-    start = wanted.select("query", "doc", (F.col("at") - F.col("place")).alias("start"), "place")
     if not slack:
-        full = start.groupBy("query", "doc", "start").agg(F.countDistinct("place").alias("n"))
-        return full.join(terms.select("query", F.size("terms").alias("size")), "query").where("n = size").groupBy("query", "doc").agg(F.count("*").alias("hits"))
-    pairs = wanted.alias("l").join(wanted.alias("r"), ["query", "doc"]).where((F.col("r.place") == F.col("l.place") + 1) & (F.col("r.at") > F.col("l.at")) & (F.col("r.at") <= F.col("l.at") + 1 + slack))
-    links = pairs.groupBy("query", "doc", F.col("l.place").alias("place")).agg(F.count("*").alias("n")).groupBy("query", "doc").agg(F.count("*").alias("links"), F.min("n").alias("hits"))
-    return links.join(terms.select("query", F.size("terms").alias("size")), "query").where("links = size - 1").select("query", "doc", "hits")
+        start = wanted.select("query", "doc", (F.col("at") - F.col("place")).alias("start"))
+        full = start.groupBy("query", "doc", "start").agg(F.count("*").alias("n"))
+        return full.join(sizes, "query").where("n = size").groupBy("query", "doc").agg(F.count("*").alias("hits"))
+    reached = wanted.where("place = 0").select("query", "doc", "at", F.lit(0).alias("last"))
+    all_ = reached
+    for place in range(1, places):
+        ahead = reached.select("query", "doc", F.explode(F.transform(F.sequence(F.lit(1), F.lit(1 + slack)), lambda d: F.col("at") + d)).alias("at"))
+        reached = ahead.distinct().join(wanted.where(F.col("place") == place), ["query", "doc", "at"], "left_semi").withColumn("last", F.lit(place))
+        all_ = all_.unionByName(reached)
+    return all_.join(sizes, "query").where("last = size - 1").groupBy("query", "doc").agg(F.count("*").alias("hits"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.offsets import token_offsets
-from siltstone.functions.text import bow_tokens, space_terms, standard_runs, standard_tokens
+from siltstone.functions.text import bow_tokens, run_rows, space_terms, standard_token_rows, standard_tokens
 from siltstone.operators import lexical as L
 from siltstone.operators import ranking as R
+from siltstone.operators.index import LexicalIndex
 from siltstone.session import load, spread
 
 UP, LOW = string.ascii_uppercase, string.ascii_lowercase
@@ -31,12 +32,48 @@ def terms(queries: DataFrame, tokens) -> DataFrame:
     return queries.select("query", F.explode(tokens).alias("term"))
 
 
+#: Indexes that this process has built, by session, data directory and tokenizer: their tables are written to the shared
+#: folder once, and all searches of the session read them.
+INDEXES: dict[tuple[str, str, str], LexicalIndex] = {}
+
+
+def index(spark: SparkSession, root: str, tokenizer: str = "bow") -> LexicalIndex:
+    """The stored index of the documents, built by the first search that needs it."""
+    key = (spark.sparkContext.applicationId, root, tokenizer)
+    if key not in INDEXES:
+        INDEXES[key] = build_index(spark, root, tokenizer)
+    return INDEXES[key]
+
+
+def build_index(spark: SparkSession, root: str, tokenizer: str = "bow") -> LexicalIndex:
+    docs = documents(spark, root)
+    if tokenizer == "bow":
+        return LexicalIndex.build(L.term_rows(docs, "doc", bow_tokens(F.col("text"))))
+    return LexicalIndex.build(standard_token_rows(docs.select("doc", "text")).groupBy("doc", "term").agg(F.count("*").alias("tf")))
+
+
 def counts(spark: SparkSession, root: str) -> DataFrame:
-    return L.term_counts(documents(spark, root), "doc", bow_tokens(F.col("text")))
+    return index(spark, root).postings.select("doc", "term", "tf")
 
 
 def stats(spark: SparkSession, root: str) -> DataFrame:
-    return L.document_stats(documents(spark, root), "doc", bow_tokens(F.col("text")))
+    return index(spark, root).lengths.select("doc", "token_count", "unique_count")
+
+
+def index_build(spark, root):
+    """Both indexes built anew: what the tables of each hold."""
+    parts = [build_index(spark, root, t).terms.agg(F.lit(t).alias("tokenizer"), F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("occurrences").alias("tokens")) for t in ("bow", "standard")]
+    return parts[0].unionByName(parts[1])
+
+
+def index_updated(spark, root):
+    """Document frequencies after every document whose id is divisible by 7 is erased and every one divisible by 5 is put
+    in again as a text of its source and language."""
+    own = index(spark, root)
+    docs = documents(spark, root)
+    again = docs.where("cast(doc as long) % 5 = 0").select("doc", F.concat_ws(" ", "source", "lang").alias("text"))
+    changed = own.updated(L.term_rows(again, "doc", bow_tokens(F.col("text"))), docs.where("cast(doc as long) % 7 = 0 and cast(doc as long) % 5 <> 0").select("doc"))
+    return changed.terms.select("term", "df", "occurrences")
 
 
 def bow_tokenize_counts(spark, root):
@@ -44,7 +81,7 @@ def bow_tokenize_counts(spark, root):
 
 
 def vocabulary_df(spark, root):
-    return counts(spark, root).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return index(spark, root).terms.select("term", "df", "occurrences")
 
 
 def token_dictionary(spark, root):
@@ -52,12 +89,12 @@ def token_dictionary(spark, root):
 
 
 def postings_positions(spark, root):
-    rows = L.term_rows(documents(spark, root), "doc", bow_tokens(F.col("text")))
+    rows = index(spark, root).postings
     return rows.select("doc", "term", "tf", F.col("positions")[0].alias("first_position"), F.element_at("positions", -1).alias("last_position"))
 
 
 def corpus_stats_oov(spark, root):
-    known = counts(spark, root).select("term").distinct()
+    known = index(spark, root).terms.select("term")
     q = terms(asked(spark, root), bow_tokens(F.col("text")))
     unknown = q.join(known, "term", "left_anti").agg(F.count("*").alias("unknown"))
     asked_terms = q.agg(F.count("*").alias("asked"))
@@ -66,7 +103,7 @@ def corpus_stats_oov(spark, root):
 
 
 def _bm25(spark, root, query_terms, allowed=None):
-    scored = L.bm25(counts(spark, root), stats(spark, root), query_terms, allowed)
+    scored = index(spark, root).search(query_terms, allowed)
     return L.top_k(scored.withColumn("score", F.round("score", 6)), "query", "doc", "score", K)
 
 
@@ -102,12 +139,12 @@ def keyword_overlap_topk(spark, root):
 
 def bow_cosine_topk(spark, root):
     q = terms(asked(spark, root), bow_tokens(F.col("text"))).groupBy("query", "term").agg(F.count("*").alias("tf"))
-    docs = stats(spark, root).select("doc")
-    return L.bow_cosine_top(counts(spark, root), q, docs, K)
+    own = index(spark, root)
+    return L.bow_cosine_top(own.postings, q, own.lengths, K, own.lengths, own.terms)
 
 
 def standard_token_kinds(spark, root):
-    runs = documents(spark, root).select(F.explode(standard_runs(F.col("text"))).alias("r")).select("r.token", "r.kind")
+    runs = run_rows(documents(spark, root).select("text"))
     return runs.groupBy("kind").agg(F.count("*").alias("tokens"), F.countDistinct("token").alias("distinct_tokens"))
 
 
@@ -118,15 +155,14 @@ def standard_tokenize_counts(spark, root):
 
 def standard_bm25_topk(spark, root):
     """The retriever over standard tokens on both sides."""
-    docs = documents(spark, root)
-    c, s = L.term_counts(docs, "doc", standard_tokens(F.col("text"))), L.document_stats(docs, "doc", standard_tokens(F.col("text")))
-    return L.top_k(L.bm25(c, s, terms(asked(spark, root), standard_tokens(F.col("text")))).withColumn("score", F.round("score", 6)), "query", "doc", "score", K)
+    scored = index(spark, root, "standard").search(terms(asked(spark, root), standard_tokens(F.col("text"))))
+    return L.top_k(scored.withColumn("score", F.round("score", 6)), "query", "doc", "score", K)
 
 
 def hybrid_search(spark, root):
     """Query terms as they stand, split at white space, against the lowered index; then each query's own limit."""
     q = asked(spark, root)
-    scored = L.bm25(counts(spark, root), stats(spark, root), terms(q, space_terms(F.col("text")))).withColumn("score", F.round("score", 6))
+    scored = index(spark, root).search(terms(q, space_terms(F.col("text")))).withColumn("score", F.round("score", 6))
     limits = q.select("query", F.coalesce("hit_limit", F.lit(K)).alias("n"))
     return L.top_k(scored.join(limits, "query"), "query", "doc", "score", F.col("n")).drop("n")
 
@@ -142,9 +178,7 @@ def near_search(spark, root):
 def _phrases(spark, root, slack):
     q = asked(spark, root).select("query", F.slice(bow_tokens(F.col("text")), 2, 3).alias("t")).where("size(t) = 3")
     q = q.select("query", F.posexplode("t").alias("place", "term"))
-    rows = L.term_rows(documents(spark, root), "doc", bow_tokens(F.col("text")))
-    found = L.phrase_matches(rows, q, slack)
-    return found if not slack else found.select("query", "doc")
+    return L.phrase_matches(index(spark, root).postings, q, slack)
 
 
 def boolean_search(spark, root):
@@ -180,7 +214,7 @@ def token_ranges(spark, root):
     return token_offsets(documents(spark, root), "doc", "text").groupBy("kind").agg(F.count("*").alias("tokens"), F.sum("byte_length").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (bow_tokenize_counts, vocabulary_df, token_dictionary, postings_positions, corpus_stats_oov, bm25_topk, bm25_own_parameters, bm25_filtered_lang, bm25_metadata_filters, keyword_overlap_topk, bow_cosine_topk, standard_token_kinds, standard_tokenize_counts, standard_bm25_topk, hybrid_search, phrase_search, near_search, boolean_search, fuzzy_vocabulary, chunk_windows, heading_sections, context_budget, token_ranges)}
+QUERIES = {f.__name__: f for f in (index_build, index_updated, bow_tokenize_counts, vocabulary_df, token_dictionary, postings_positions, corpus_stats_oov, bm25_topk, bm25_own_parameters, bm25_filtered_lang, bm25_metadata_filters, keyword_overlap_topk, bow_cosine_topk, standard_token_kinds, standard_tokenize_counts, standard_bm25_topk, hybrid_search, phrase_search, near_search, boolean_search, fuzzy_vocabulary, chunk_windows, heading_sections, context_budget, token_ranges)}
 
 
 def _bow(text: str) -> str:
@@ -237,6 +271,11 @@ PLACED = f"""WITH p AS (SELECT doc_id::VARCHAR AS doc, unnest({_bow("text")}) AS
 l AS (SELECT query, list_slice({_bow("text")}, 2, 4) AS w FROM q)"""
 
 SQL = {
+    "index_build": f"""WITH {_standard("(SELECT doc_id::VARCHAR AS doc, text FROM documents)", "st", "doc")},
+t AS (SELECT 'bow' AS tokenizer, doc_id::VARCHAR AS doc, unnest({_bow("text")}) AS term FROM documents UNION ALL SELECT 'standard', k, token FROM st),
+c AS (SELECT tokenizer, doc, term, count(*) AS tf FROM t GROUP BY ALL) SELECT tokenizer, count(DISTINCT term) AS terms, count(*) AS postings, sum(tf)::BIGINT AS tokens FROM c GROUP BY 1""",
+    "index_updated": f"""WITH d AS (SELECT doc_id AS doc, CASE WHEN doc_id % 5 = 0 THEN concat_ws(' ', source, lang) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0),
+t AS (SELECT doc, unnest({_bow("text")}) AS term FROM d), c AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM c GROUP BY 1""",
     "bow_tokenize_counts": BASE + " SELECT doc, n AS token_count, u AS unique_count FROM s",
     "vocabulary_df": BASE + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM c GROUP BY 1",
     "token_dictionary": BASE + " SELECT term, row_number() OVER (ORDER BY term) AS token_id, count(*) AS df FROM c GROUP BY 1",
@@ -271,8 +310,8 @@ sc AS (SELECT query, doc, coalesce(round(score, 6), 0) AS score FROM (SELECT que
     ),
     "phrase_search": PLACED + " SELECT query, a.doc, count(*) AS hits FROM l JOIN p a ON a.term = w[1] JOIN p b ON b.doc = a.doc AND b.term = w[2] AND b.pos = a.pos + 1 JOIN p c ON c.doc = a.doc AND c.term = w[3] AND c.pos = a.pos + 2 WHERE len(w) = 3 GROUP BY ALL",
     "near_search": PLACED
-    + """ SELECT DISTINCT query, doc FROM (SELECT query, a.doc FROM l JOIN p a ON a.term = w[1] JOIN p b ON b.doc = a.doc AND b.term = w[2] AND b.pos > a.pos AND b.pos <= a.pos + 4 WHERE len(w) = 3)
-INTERSECT SELECT DISTINCT query, b.doc FROM l JOIN p b ON b.term = w[2] JOIN p c ON c.doc = b.doc AND c.term = w[3] AND c.pos > b.pos AND c.pos <= b.pos + 4 WHERE len(w) = 3""",
+    + """, h AS (SELECT DISTINCT query, a.doc, c.pos FROM l JOIN p a ON a.term = w[1] JOIN p b ON b.doc = a.doc AND b.term = w[2] AND b.pos > a.pos AND b.pos <= a.pos + 4
+  JOIN p c ON c.doc = a.doc AND c.term = w[3] AND c.pos > b.pos AND c.pos <= b.pos + 4 WHERE len(w) = 3) SELECT query, doc, count(*) AS hits FROM h GROUP BY ALL""",
     "boolean_search": BASE
     + f""", l AS (SELECT query, {_bow("text")} AS w FROM q), cl AS (SELECT DISTINCT query, unnest(w) AS term, CASE generate_subscripts(w, 1) WHEN 2 THEN 'must' WHEN 3 THEN 'must_not' ELSE 'should' END AS occur FROM l WHERE len(w) >= 3),
 n AS (SELECT query, count(*) FILTER (occur = 'must') AS musts FROM cl GROUP BY 1),

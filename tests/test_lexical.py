@@ -69,3 +69,31 @@ def test_fuzzy_finds_all_within_distance(spark):
     v = spark.createDataFrame([("signature",), ("signatur",), ("signatures",), ("sgnaturee",), ("x" * 5000,)], "term string")
     q = spark.createDataFrame([("signature",)], "term string")
     assert {r["term"] for r in R.fuzzy_terms(v, q, 2).collect()} == {"signature", "signatur", "signatures", "sgnaturee"}
+
+
+def test_index_is_kept_up_without_rebuilding(spark, tmp_path):
+    from siltstone.operators.index import LexicalIndex
+
+    def rows(texts):
+        docs = spark.createDataFrame(list(texts.items()), "doc string, text string")
+        return L.term_rows(docs, "doc", bow_tokens(F.col("text")))
+
+    old = {"a": "cache shard cache", "b": "plan cache", "c": "plan plan", "d": ""}
+    new = {"b": "shard only", "e": "cache new"}
+    own = LexicalIndex.build(rows(old))
+    own.save(f"{tmp_path}/i")
+    changed = LexicalIndex.open(spark, f"{tmp_path}/i").updated(rows(new), spark.createDataFrame([("c",), ("never",)], "doc string"))
+    whole = LexicalIndex.build(rows({"a": old["a"], **new}))
+    for name in ("postings", "lengths", "terms"):
+        a, b = getattr(changed, name), getattr(whole, name)
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect())), name
+    q = spark.createDataFrame([("q", "cache"), ("q", "shard")], "query string, term string")
+    assert sorted(map(tuple, changed.search(q).collect())) == sorted(map(tuple, whole.search(q).collect()))
+
+
+def test_near_needs_one_chain(spark):
+    docs = spark.createDataFrame([("apart", "aa bb x x x x x x x x bb cc"), ("chain", "aa x bb x x cc aa bb cc"), ("late", "aa x x x x bb cc")], "doc string, text string")
+    rows = L.term_rows(docs, "doc", bow_tokens(F.regexp_replace("text", "x", "xx")))
+    q = spark.createDataFrame([("q", 0, "aa"), ("q", 1, "bb"), ("q", 2, "cc"), ("one", 0, "bb")], "query string, place int, term string")
+    got = {(r["query"], r["doc"]): r["hits"] for r in L.phrase_matches(rows, q, 3).collect()}
+    assert got == {("q", "chain"): 2, ("one", "apart"): 2, ("one", "chain"): 2, ("one", "late"): 1}
