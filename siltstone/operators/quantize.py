@@ -44,6 +44,70 @@ def code_entropy(codes: DataFrame) -> DataFrame:
     return counted.withColumn("p", p).groupBy("dim").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
 
+def kmeans_thresholds(vectors: DataFrame, item: str, vector: str, rounds: int = 8) -> DataFrame:
+    """(dim, centers, thresholds): three centers per dimension by Lloyd's rounds from the 1/6, 1/2 and 5/6 quantiles.
+
+    Each round is one aggregate over all rows: a component goes to its nearest center, the lower one of two as near.
+    """
+    from siltstone.session import stored
+
+    rows = stored(components(vectors, item, vector).select("dim", "x"))
+    centers = rows.groupBy("dim").agg(F.percentile("x", F.array(F.lit(1 / 6), F.lit(0.5), F.lit(5 / 6))).alias("c"))
+    for _ in range(rounds):
+        near = rows.join(F.broadcast(centers), "dim").select("dim", "c", "x", F.array_position(F.transform("c", lambda c: F.abs(F.col("x") - c)), F.array_min(F.transform("c", lambda c: F.abs(F.col("x") - c)))).alias("own"))
+        means = [F.avg(F.when(F.col("own") == k + 1, F.col("x"))).alias(f"m{k}") for k in range(3)]
+        centers = near.groupBy("dim").agg(F.first("c").alias("c"), *means).select("dim", F.array(*[F.coalesce(f"m{k}", F.col("c")[k]) for k in range(3)]).alias("c"))
+        centers = stored(centers)  # three numbers per dimension
+    middle = F.array(*[(F.col("c")[k] + F.col("c")[k + 1]) / 2 for k in range(2)])
+    return centers.select("dim", F.col("c").alias("centers"), middle.alias("thresholds"))
+
+
+def packed_codes(codes: DataFrame, width: int, symbols: int, per_byte: int) -> DataFrame:
+    """(id, packed): codes below ``symbols`` as digits of a byte, ``per_byte`` dimensions each, digit o of byte i being
+    dimension i * per_byte + o."""
+    if symbols**per_byte > 256:
+        raise ValueError("so many symbols don't fit a byte")
+    at = F.floor(F.col("dim") / per_byte)
+    digit = F.col("code") * F.pow(F.lit(float(symbols)), F.col("dim") % per_byte)
+    sums = codes.groupBy("id", at.cast("int").alias("at")).agg(F.sum(digit).cast("int").alias("v"))
+    count = -(-width // per_byte)
+    return sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m")).select("id", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("packed"))
+
+
+def packed_scores(packed: DataFrame, centers: np.ndarray, queries: DataFrame, item: str, vector: str, symbols: int, per_byte: int, k: int = 10) -> DataFrame:
+    """(query, item, score, rank): the k largest sums of query component times code center, by one table look-up per
+    byte; ``centers`` is (dimension, symbol). The tables, (bytes x symbols ** per_byte) numbers a query, are made where
+    the blocks of queries meet the blocks of codes."""
+    from siltstone.operators.lexical import top_k
+    from siltstone.operators.vectors import tiles
+
+    kind, (width, _), count = queries.schema[item].dataType, centers.shape, -(-centers.shape[0] // per_byte)
+    values = np.arange(symbols**per_byte)
+    digits = np.stack([values // symbols**o % symbols for o in range(per_byte)], 1)
+    asked = tiles(queries, item, vector, width).select(F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    blocks = packed.withColumn("t", F.spark_partition_id() * F.lit(1 << 20) + F.floor((F.monotonically_increasing_id() % (1 << 33)) / 8192)).groupBy("t").agg(F.collect_list(F.struct("id", "packed")).alias("r")).select(F.col("r.id").alias("ids"), F.col("r.packed").alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                q, d = b.column("qids")[row].values, b.column("ids")[row].values
+                x = np.frombuffer(b.column("qdata")[row].as_py(), "<f4").reshape(-1, width).astype(float)
+                codes = b.column("codes")[row].values.flatten().to_numpy().reshape(-1, count)
+                score = np.zeros((len(x), len(codes)))
+                for i in range(count):
+                    dims = np.arange(i * per_byte, min(width, (i + 1) * per_byte))
+                    table = sum(x[:, [dim]] * centers[dim, digits[:, o]][None, :] for o, dim in enumerate(dims))
+                    score += table[:, codes[:, i]]
+                score = np.round(score, 6)
+                order = np.argsort(d.to_numpy(zero_copy_only=False), kind="stable")
+                best = np.argsort(-score[:, order], axis=1, kind="stable")[:, : k + 1]
+                i = np.repeat(np.arange(len(x)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([q.take(pa.array(i)), d.take(pa.array(order[best.ravel()])), pa.array(score[i, order[best.ravel()]] + 0.0)], names=["query", "item", "score"])
+
+    out = T.StructType([T.StructField("query", kind), T.StructField("item", kind), T.StructField("score", T.DoubleType())])
+    return top_k(blocks.crossJoin(asked).mapInArrow(run, out).where("query <> item"), "query", "item", "score", k)
+
+
 def ternary_codes(vectors: DataFrame, item: str, vector: str, width: int, threshold: float) -> DataFrame:
     """(id, nonzero, sign): two bit planes, set where a component's size exceeds the threshold and where it is positive."""
     v = F.col(vector)
@@ -77,6 +141,14 @@ class ProductQuantizer:
                 u, _, v = np.linalg.svd(sample.T @ self.decode(self.encode_raw(sample), raw=True))
                 self.turn = u @ v
 
+    @classmethod
+    def from_books(cls, books: np.ndarray) -> ProductQuantizer:
+        """A quantizer of given codebooks (part, center, component), without rotation."""
+        own = cls.__new__(cls)
+        own.parts, own.size, own.books = len(books), books.shape[1], [np.asarray(b, float) for b in books]
+        own.turn = np.eye(books.shape[0] * books.shape[2])
+        return own
+
     def _slices(self, width: int) -> list[slice]:
         step = width // self.parts
         return [slice(p * step, (p + 1) * step) for p in range(self.parts)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions.vector import hadamard_rows, hamming, hyperplanes, pack, sign_bits
 from siltstone.operators.lexical import top_k
-from siltstone.session import cut
+from siltstone.session import cut, stored
 
 #: Tables and sampled bits of each, candidates asked for per result and at least, and the largest probe radius.
 TABLES, TABLE_BITS, MULTIPLIER, LEAST, RADIUS = 8, 8, 64, 128, 2
@@ -200,21 +201,32 @@ def multiprobe(signatures: DataFrame, query_signatures: DataFrame, bits: int, k:
 
     A query's candidates are what it meets up to the first whole radius at which they are at least
     min(rows, max(least, k * multiplier)), itself included, else up to the largest radius.
+
+    A query that is full at one radius is joined with no bucket of the next, so that most of the probes, which are at
+    the largest radius, are only made for the queries that need them. ``width`` should be about the logarithm of the
+    rows, so that a bucket holds a few of them.
     """
     postings = bucket_keys(signatures, bits, tables, width)
     asked = probes(query_signatures, bits, tables, width, radius)
-    met = asked.join(postings, ["table", "key"])
-    first = met.groupBy("query", "id").agg(F.min("radius").alias("radius"))
-    rows = signatures.agg(F.count("*").alias("n"))
-    per = first.groupBy("query", "radius").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("query").orderBy("radius")))
     goal = F.least(F.col("n"), F.lit(max(least, k * multiplier)))
-    stop = per.crossJoin(F.broadcast(rows)).groupBy("query").agg(F.coalesce(F.min(F.when(F.col("upto") >= goal, F.col("radius"))), F.lit(radius)).alias("stop"))
-    kept = first.join(stop, "query").where("radius <= stop")
-    scored = kept.join(signatures, "id").join(query_signatures.select(F.col("id").alias("query"), F.col("words").alias("qwords")), "query")
+    rows = signatures.agg(F.count("*").alias("n"))
+    open_ = query_signatures.select(F.col("id").alias("query"))
+    met = full = None
+    for r in range(radius + 1):
+        step = asked.where(F.col("radius") == r).join(open_, "query", "left_semi").join(postings, ["table", "key"]).select("query", "id", F.lit(r).alias("radius"))
+        # a query is open until it is full, so it has met everything up to here
+        met = stored(step if met is None else met.unionByName(step))
+        done = met.groupBy("query").agg(F.countDistinct("id").alias("c")).crossJoin(F.broadcast(rows)).where(F.col("c") >= goal).select("query")
+        new = done.join(open_, "query", "left_semi").withColumn("stop", F.lit(r))
+        full = new if full is None else full.unionByName(new)
+        if r < radius:
+            open_ = open_.join(done, "query", "left_anti")
+    stop = query_signatures.select(F.col("id").alias("query")).join(full, "query", "left").select("query", F.coalesce("stop", F.lit(radius)).alias("stop"))
+    scored = met.select("query", "id").distinct().join(signatures, "id").join(query_signatures.select(F.col("id").alias("query"), F.col("words").alias("qwords")), "query")
     scored = scored.select("query", F.col("id").alias("item"), hamming(F.col("words"), F.col("qwords"), (bits + 63) // 64).cast("long").alias("distance")).where("query <> item")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "item"))).where(F.col("rank") <= k)
     counts = F.array(*[F.lit(tables * sum(1 for r, _ in probe_masks(width, radius) if r <= q)) for q in range(radius + 1)])
-    visited = met.join(stop, "query").where("radius <= stop").groupBy("query").agg(F.count("*").alias("postings"), F.countDistinct("id").alias("candidates"))
+    visited = met.groupBy("query").agg(F.count("*").alias("postings"), F.countDistinct("id").alias("candidates"))
     return ranked, stop.join(visited, "query").select("query", counts[F.col("stop")].cast("long").alias("buckets"), "postings", "candidates")
 
 
@@ -242,6 +254,42 @@ def band_candidates(signatures: DataFrame, query_signatures: DataFrame, bits: in
     return asked.join(stored, ["band", "key"]).select("query", F.col("id").alias("item")).where("query <> item").distinct()
 
 
+def band_spans(bits: int, bands: int) -> list[tuple[int, int]]:
+    """(first bit, width) of bands that differ in width by one at most, the wider ones first."""
+    base, more = divmod(bits, bands)
+    spans, at = [], 0
+    for b in range(bands):
+        width = base + (b < more)
+        spans.append((at, width))
+        at += width
+    return spans
+
+
+def _span_key(first: int, width: int) -> Column:
+    """The bits of a band as one number, also where the band goes over into the next word."""
+    word, at = divmod(first, 64)
+    mask = F.lit((1 << width) - 1).cast("long")
+    low = F.shiftrightunsigned(F.col("words")[word], at)
+    if at + width > 64:
+        low = low.bitwiseOR(F.shiftleft(F.col("words")[word + 1], 64 - at))
+    return low.bitwiseAND(mask)
+
+
+def spanned_candidates(signatures: DataFrame, query_signatures: DataFrame, spans: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(query, item): all signatures within a Hamming radius, and some others, over bands of any widths below 63.
+
+    By the pigeonhole rule of ``band_candidates``, each band probed within its share of the radius.
+    """
+    q, r = divmod(radius, len(spans))
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), _span_key(*s).alias("key")) for b, s in enumerate(spans)])
+    own = lambda b, width: F.array(*[F.lit(m).cast("long") for _, m in probe_masks(width, q if b <= r else q - 1)] if q or b <= r else []).cast("array<bigint>")
+    masks = F.array(*[own(b, width) for b, (_, width) in enumerate(spans)])
+    stored_ = signatures.select("id", F.explode(keys).alias("k")).select("id", "k.band", "k.key")
+    asked = query_signatures.select(F.col("id").alias("query"), F.explode(keys).alias("k")).select("query", "k.band", F.col("k.key").alias("own"), F.explode(masks[F.col("k.band")]).alias("m"))
+    asked = asked.select("query", "band", F.col("own").bitwiseXOR(F.col("m")).alias("key"))
+    return asked.join(stored_, ["band", "key"]).select("query", F.col("id").alias("item")).where("query <> item").distinct()
+
+
 def spread_bits(signatures: DataFrame, bits: int, *keys: str) -> DataFrame:
     """(keys, bit, value): a row per bit."""
     rows = F.array(*[F.struct(F.lit(i).alias("bit"), bit(F.col("words"), i).alias("value")) for i in range(bits)])
@@ -282,12 +330,23 @@ def code_health(signatures: DataFrame, bits: int) -> DataFrame:
     return shares.select((F.size("still") / bits).alias("constant_fraction"), total.alias("entropy_total"), (total / bits).alias("entropy_mean"), F.array_min("e").alias("entropy_min"), F.array_max("e").alias("entropy_max"), *[e[i].alias(f"entropy_{n}") for n, i in at.items()])
 
 
+def strided(rows: DataFrame, item: str, size: int) -> DataFrame:
+    """At most ``size`` rows at even steps in the order of their ids: those numbered floor(i * rows / size)."""
+    from siltstone.operators.ranking import numbered
+
+    placed = numbered(rows, [item], "_no")
+    n = placed.agg(F.count("*").alias("_n"))
+    at = F.ceil(F.col("_no") * F.least(F.col("_n"), F.lit(size)) / F.col("_n"))
+    chosen = (at < F.least(F.col("_n"), F.lit(size))) & (F.floor(at * F.col("_n") / F.least(F.col("_n"), F.lit(size))) == F.col("_no"))
+    return placed.crossJoin(F.broadcast(n)).where(chosen).drop("_no", "_n")
+
+
 def bit_correlations(signatures: DataFrame, bits: int, sample: int | None = 512) -> DataFrame:
-    """(a, b, correlation) of each pair of bits that vary, over a bounded sample of the lowest hashes (all if None).
+    """(a, b, correlation) of each pair of bits that vary, over at most ``sample`` rows at even steps (all if None).
 
     The counts of all pairs come from one aggregate over products of sign matrices, bits x bits numbers.
     """
-    some = signatures if sample is None else signatures.orderBy(F.xxhash64("id"), "id").limit(sample)
+    some = signatures if sample is None else strided(signatures, "id", sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, n = np.zeros((bits, bits), np.int64), 0
@@ -306,36 +365,47 @@ def bit_correlations(signatures: DataFrame, bits: int, sample: int | None = 512)
     return pairs.where("pa > 0 and pa < 1 and pb > 0 and pb < 1").select("a", "b", ((F.col("c") / F.col("n") - F.col("pa") * F.col("pb")) / F.sqrt(F.col("pa") * (1 - F.col("pa")) * F.col("pb") * (1 - F.col("pb")))).alias("correlation"))
 
 
+def correlation_summary(correlations: DataFrame, bits: int) -> DataFrame:
+    """One row: mean, 95th and 99th percentile and largest size of the correlations, at floor(share * (count - 1))."""
+    sizes = correlations.select(F.abs("correlation").alias("c"))
+    one = sizes.agg(F.sort_array(F.collect_list("c")).alias("c"), F.avg("c").alias("mean"))  # bits x bits numbers at most
+    at = lambda q: F.col("c")[F.floor(F.lit(q) * (F.size("c") - 1)).cast("int")]
+    return one.select("mean", at(0.95).alias("p95"), at(0.99).alias("p99"), F.array_max("c").alias("largest"))
+
+
 def signature_buckets(signatures: DataFrame) -> DataFrame:
     """(words, size) of every distinct signature."""
     return signatures.groupBy("words").agg(F.count("*").alias("size"))
 
 
+#: The step and the offset, before they are reduced, by which the reference samples pairs; the same pairs
+#: must come out.
+PAIR_STEP, PAIR_OFFSET = 1099511628211, 1469598103934665603
+
+
 def pairwise_stats(signatures: DataFrame, words: int, limit: int = 4096) -> DataFrame:
     """One row: pairs, mean, standard deviation, least and most Hamming distance over at most ``limit`` pairs.
 
-    Signatures are numbered by id; of M pairs, all count up to the limit, else those at (offset + i * stride) mod M.
-    Only the rows that a chosen pair names are numbered and joined.
+    Signatures are numbered by id and their M pairs in order; all count up to the limit, else those at
+    (offset + i * step) mod M with a step that has no divisor with M. The pairs are made in the executors, and only the
+    rows that one of them names are joined.
     """
-    n = signatures.count()
-    total = n * (n - 1) // 2
-    take = min(limit, total)
-    stride, offset = 1099511628211 % total if total else 0, 1469598103934665603 % total if total else 0
-    while total and np.gcd(stride, total) != 1:
-        stride += 1
-    chosen = []
-    for i in range(take):
-        r = i if take == total else (offset + i * stride) % total
-        a = int((2 * n - 1 - ((2 * n - 1) ** 2 - 8 * r) ** 0.5) // 2)
-        while a * (2 * n - a - 1) // 2 > r:
-            a -= 1
-        while (a + 1) * (2 * n - a - 2) // 2 <= r:
-            a += 1
-        chosen.append((a, r - a * (2 * n - a - 1) // 2 + a + 1))
-    pairs = signatures.sparkSession.createDataFrame(chosen, "a long, b long")
     from siltstone.operators.ranking import numbered
 
-    rows = cut(numbered(signatures, ["id"], "no"))
+    rows = numbered(signatures, ["id"], "no")
+    n = rows.count()
+    total = n * (n - 1) // 2
+    take = min(limit, total)
+    step, offset = (PAIR_STEP % total or 1, PAIR_OFFSET % total) if take < total else (1, 0)
+    while math.gcd(step, max(total, 1)) != 1:
+        step = step + 1 if step + 1 < total else 1
+    big = lambda x: F.lit(x).cast("decimal(38,0)")
+    r = (big(offset) + F.col("id").cast("decimal(38,0)") * big(step)) % big(max(total, 1))
+    first = lambda a: a * (big(2 * n - 1) - a) / big(2)  # noqa: E731  # the number of the first pair of row a
+    guess = F.floor((F.lit(2.0 * n - 1) - F.sqrt(F.greatest(F.lit(0.0), F.lit((2.0 * n - 1) ** 2) - 8 * F.col("r").cast("double")))) / 2).cast("long")
+    near = F.array_max(F.filter(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda d: guess + d), lambda a: (a >= 0) & (a < n) & (first(a.cast("decimal(20,0)")) <= F.col("r"))))
+    made = signatures.sparkSession.range(take).select(r.alias("r")).withColumn("a", near)
+    pairs = made.select("a", (F.col("r") - first(F.col("a").cast("decimal(20,0)")) + F.col("a") + 1).cast("long").alias("b"))
     joined = pairs.join(rows.select(F.col("no").alias("a"), F.col("words").alias("wa")), "a").join(rows.select(F.col("no").alias("b"), F.col("words").alias("wb")), "b")
     d = hamming(F.col("wa"), F.col("wb"), words)
     return joined.select(d.alias("d")).agg(F.count("*").alias("pairs"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("deviation"), F.min("d").cast("long").alias("least"), F.max("d").cast("long").alias("most"))

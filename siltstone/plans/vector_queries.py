@@ -181,8 +181,79 @@ def opq_topk(spark, root):
     return Q.pq_top_k(quantizer.encode(e, "vec_id", "embedding"), quantizer, asked(spark, root), "vec_id", "embedding", K)
 
 
+def _weights(bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeded weights and biases as an encoder's file holds them."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(bits, WIDTH)).astype(np.float32).astype(float), (0.2 * rng.normal(size=bits)).astype(np.float32).astype(float)
+
+
 def autoencoder_topk(spark, root):
-    return _encoded(lambda: S.autoencoder(np.eye(WIDTH), np.zeros(WIDTH)), False)(spark, root)
+    """96 bits of a layer of 96 x 64 weights and 96 biases."""
+    return _encoded(lambda: S.autoencoder(*_weights(96, 5)), False)(spark, root)
+
+
+def _books() -> np.ndarray:
+    return np.round(0.15 * np.random.default_rng(11).normal(size=(8, 16, 8)), 4)
+
+
+def pq_stored_topk(spark, root):
+    """Product quantization by stored codebooks: 8 parts of 16 centers."""
+    quantizer = Q.ProductQuantizer.from_books(_books())
+    return Q.pq_top_k(quantizer.encode(embeddings(spark, root), "vec_id", "embedding"), quantizer, asked(spark, root), "vec_id", "embedding", K)
+
+
+def adc_rerank(spark, root):
+    """The 50 nearest signatures of 64 hyperplanes, by the squared gap of the query's projections to the bits' centers."""
+    encoder = S.random_hyperplanes(64, WIDTH)
+    coded = encoder.encode(embeddings(spark, root), "vec_id", "embedding")
+    own = encoder.encode(asked(spark, root), "vec_id", "embedding", projections=True)
+    near = S.hamming_top_k(coded, own.select("id", "words"), 1, 50).select("query", "item")
+    centers = np.stack([np.full(64, -0.8), np.full(64, 0.8)], 1)
+    scored = S.adc_scores(near.join(coded.withColumnRenamed("id", "item"), "item"), own, centers)
+    return S.top_k(scored.withColumn("score", F.round(-F.col("score"), 6)), "query", "item", "score", K)
+
+
+def asymmetric_rerank(spark, root):
+    """The 50 nearest signs, by the query's components added where the item's bit is set and subtracted elsewhere."""
+    coded = signs(spark, root)
+    near = S.hamming_top_k(coded, asked_signs(spark, root), 1, 50).select("query", "item")
+    own = asked(spark, root).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("projections"))
+    scored = P.asymmetric_scores(near.join(coded.withColumnRenamed("id", "item"), "item"), own, WIDTH)
+    return S.top_k(scored.withColumn("score", F.round("score", 6)), "query", "item", "score", K)
+
+
+def pairwise_hamming_sample(spark, root):
+    """The sample of 4,096 pairs."""
+    made = S.pairwise_stats(signs(spark, root), 1)
+    return made.select("pairs", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most")
+
+
+def bit_correlation_sample(spark, root):
+    """Summary of the correlations over 300 rows at even steps."""
+    one = S.correlation_summary(S.bit_correlations(signs(spark, root), WIDTH, 300), WIDTH)
+    return one.select(*[F.round(c, 6).alias(c) for c in one.columns])
+
+
+def variable_bands(spark, root):
+    """Candidates within radius 10 over nine bands of seven and eight bits."""
+    found = S.spanned_candidates(signs(spark, root), asked_signs(spark, root), S.band_spans(WIDTH, 9), 10)
+    return found.groupBy("query").agg(F.count("*").alias("candidates"))
+
+
+def kmeans_centers(spark, root):
+    made = Q.kmeans_thresholds(embeddings(spark, root), "vec_id", "embedding", 2)
+    return made.select("dim", *[F.round(F.col("centers")[k], 6).alias(f"c{k}") for k in range(3)])
+
+
+#: Three centers of each dimension for the packed codes.
+CENTERS = np.tile(np.array([[-0.12, 0.0, 0.12]]), (WIDTH, 1))
+
+
+def packed_ternary_topk(spark, root):
+    """Ternary codes, five to a byte, scored by table look-ups."""
+    rows = Q.components(embeddings(spark, root), "vec_id", "embedding")
+    codes = rows.select("id", "dim", F.when(F.col("x") > 0.06, 2).when(F.col("x") < -0.06, 0).otherwise(1).alias("code"))
+    return Q.packed_scores(Q.packed_codes(codes, WIDTH, 3, 5), CENTERS, asked(spark, root), "vec_id", "embedding", 3, 5, K)
 
 
 def weighted_hamming_topk(spark, root):
@@ -227,9 +298,9 @@ def stable_split(spark, root):
 
 
 def sparse_signature_words(spark, root):
-    """Signatures from single components; those of the whole vectors must be the same."""
+    """Signatures of 64 hyperplanes from single components."""
     values = embeddings(spark, root).select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("index", "value"))
-    return P.sparse_signatures(values, np.eye(WIDTH)).select("id", F.col("words")[0].alias("word"))
+    return P.sparse_signatures(values, S.random_hyperplanes(64, WIDTH).rows).select("id", F.col("words")[0].alias("word"))
 
 
 QUERIES = {
@@ -246,7 +317,7 @@ QUERIES = {
     "hadamard_topk": _encoded(lambda: S.randomized_hadamard(256, WIDTH), False),
     "pca_topk": _encoded(lambda x: S.pca(x, WIDTH), True),
     "pair_difference_topk": _encoded(lambda x: S.pair_differences(x, 128), True),
-    **{f.__name__: f for f in (itq_cascade, pq_topk, opq_topk, autoencoder_topk, weighted_hamming_topk, budgeted_probe_counts, intraband_correlation, balanced_band_correlation, uncertainty_masks, updated_aggregate_counters, routed_labels, stable_split, sparse_signature_words)},
+    **{f.__name__: f for f in (itq_cascade, pq_topk, opq_topk, autoencoder_topk, pq_stored_topk, adc_rerank, asymmetric_rerank, pairwise_hamming_sample, bit_correlation_sample, variable_bands, kmeans_centers, packed_ternary_topk, weighted_hamming_topk, budgeted_probe_counts, intraband_correlation, balanced_band_correlation, uncertainty_masks, updated_aggregate_counters, routed_labels, stable_split, sparse_signature_words)},
 }
 
 BASE = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -281,12 +352,87 @@ first AS (SELECT query, id, min(radius) AS radius FROM met GROUP BY ALL),
 goal AS (SELECT least(count(*), 640) AS goal FROM s),
 per AS (SELECT query, radius, sum(count(*)) OVER (PARTITION BY query ORDER BY radius) AS upto FROM first GROUP BY query, radius),
 stop AS (SELECT query, coalesce(min(radius) FILTER (upto >= goal), 2) AS stop FROM per, goal GROUP BY query)"""
+# probes in the order of what their flips cost; exact buckets first
+PROBE_BUDGET = f"""{SIGNS}, t AS (SELECT unnest(range(0, 8)) AS tab), o AS (SELECT unnest(range(0, 8)) AS off),
+masks AS (SELECT 0::BIGINT AS mask, []::BIGINT[] AS flips UNION ALL SELECT 1::BIGINT << off, [off] FROM o UNION ALL SELECT (1::BIGINT << a.off) | (1::BIGINT << b.off), [a.off, b.off] FROM o a, o b WHERE a.off < b.off),
+k AS (SELECT id, tab, (word >> (tab * 8)) & 255 AS key FROM s, t),
+pr AS (SELECT q.query, tab, xor((qword >> (tab * 8)) & 255, mask) AS key, CASE WHEN len(flips) = 0 THEN -1 ELSE list_sum(list_transform(flips, lambda f: abs(w[(tab * 8 + f + 1)::INT]))) END AS cost FROM a JOIN q USING (query), t, masks),
+nu AS (SELECT *, CASE WHEN cost < 0 THEN 0 ELSE row_number() OVER (PARTITION BY query ORDER BY cost, tab, key) END AS n FROM pr),
+first AS (SELECT query, id, min(n) AS n FROM nu JOIN k USING (tab, key) GROUP BY ALL),
+per AS (SELECT query, n, sum(count(*)) OVER (PARTITION BY query ORDER BY n) AS upto FROM first GROUP BY query, n),
+last AS (SELECT query, coalesce(min(n) FILTER (upto >= 40), max(n)) AS last FROM per GROUP BY 1)
+SELECT query, count(*) AS candidates FROM first JOIN last USING (query) WHERE n <= last GROUP BY 1"""
 CODES = BASE + """, x AS (SELECT id, (generate_subscripts(v, 1) - 1)::INT AS dim, unnest(v) AS x FROM e),
 th AS (SELECT dim, [quantile_disc(x, 0.25), quantile_disc(x, 0.5), quantile_disc(x, 0.75)] AS t FROM x GROUP BY 1),
 c AS (SELECT id, dim, x.x, len(list_filter(t, lambda y: x.x > y))::INT AS code FROM x JOIN th USING (dim))"""
 TERNARY = BASE + ", " + "y AS (SELECT id, label, " + " | ".join(f"(CASE WHEN abs(v[{i + 1}]) > 0.1 THEN {f'{1 << i}::BIGINT' if i < 63 else '(-9223372036854775807 - 1)::BIGINT'} ELSE 0 END)" for i in range(64)) + " AS nonzero, " + " | ".join(f"(CASE WHEN v[{i + 1}] > 0.1 THEN {f'{1 << i}::BIGINT' if i < 63 else '(-9223372036854775807 - 1)::BIGINT'} ELSE 0 END)" for i in range(64)) + " AS sign FROM e)"
 
+
+
+def _matrix(rows: np.ndarray, thresholds: np.ndarray | None = None) -> str:
+    """A matrix as rows (bit, r, th)."""
+    ths = np.zeros(len(rows)) if thresholds is None else thresholds
+    values = ", ".join(f"({i}, [{', '.join(repr(float(x)) for x in r)}]::DOUBLE[], {float(t)!r}::DOUBLE)" for i, (r, t) in enumerate(zip(rows, ths)))
+    return f"m AS (SELECT * FROM (VALUES {values}) t(bit, r, th))"
+
+
+def _coded(rows: np.ndarray, thresholds: np.ndarray | None = None, op: str = ">") -> str:
+    """CTEs that end in w: (id, word, w), the packed bits of all rows."""
+    return f"""{BASE}, {_matrix(rows, thresholds)},
+cb AS (SELECT id, bit, list_inner_product(v, r) {op} th AS on_ FROM e, m),
+w AS (SELECT id, bit // 64 AS word, bit_or(CASE WHEN on_ THEN CASE WHEN bit % 64 = 63 THEN (-9223372036854775807 - 1)::BIGINT ELSE 1::BIGINT << (bit % 64) END ELSE 0 END) AS w FROM cb GROUP BY ALL)"""
+
+
+def _coded_top(rows: np.ndarray, thresholds: np.ndarray | None = None, op: str = ">", k: int = 10, tail: bool = True) -> str:
+    return _coded(rows, thresholds, op) + """, d AS (SELECT a.id AS query, s.id AS item, sum(bit_count(xor(a.w, s.w)))::BIGINT AS distance FROM w a JOIN w s USING (word) WHERE a.id % 20 = 0 AND a.id <> s.id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, item) AS rank FROM d)""" + (f" SELECT query, item, distance, rank FROM r WHERE rank <= {k}" if tail else "")
+
+
+def _books_sql() -> str:
+    values = ", ".join(f"({p}, {c}, [{', '.join(repr(float(x)) for x in center)}]::DOUBLE[])" for p, book in enumerate(_books()) for c, center in enumerate(book))
+    return f"k AS (SELECT * FROM (VALUES {values}) t(part, center, c))"
+
+
+AUTO = _weights(96, 5)
+PLANES = S.random_hyperplanes(64, WIDTH).rows
+
 SQL = {
+    "hyperplane_topk": _coded_top(S.random_hyperplanes(256, WIDTH).rows),
+    "hadamard_topk": _coded_top(S.randomized_hadamard(256, WIDTH).rows),
+    "autoencoder_topk": _coded_top(AUTO[0], -AUTO[1], ">="),
+    "sparse_signature_words": _coded(PLANES) + " SELECT id, w AS word FROM w",
+    "adc_rerank": _coded_top(PLANES, tail=False) + """, pr AS (SELECT query, bit, list_inner_product(w, r) AS p FROM q, m),
+sc AS (SELECT r.query, r.item, round(-sum((p - CASE WHEN on_ THEN 0.8::DOUBLE ELSE -0.8::DOUBLE END) ** 2), 6) + 0 AS score FROM r JOIN cb ON cb.id = r.item JOIN pr ON pr.query = r.query AND pr.bit = cb.bit WHERE rank <= 50 GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM sc) SELECT query, item, score, rank FROM z WHERE rank <= 10""",
+    "asymmetric_rerank": NEAR + """, sc AS (SELECT r.query, r.item, round(list_sum(list_transform(list_zip(q.w, e.v), lambda z: CASE WHEN z[2] > 0 THEN z[1] ELSE -z[1] END)), 6) + 0 AS score FROM r JOIN q ON q.query = r.query JOIN e ON e.id = r.item WHERE rank <= 50),
+z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM sc) SELECT query, item, score, rank FROM z WHERE rank <= 10""",
+    "pq_stored_topk": f"""{BASE}, {_books_sql()},
+x AS (SELECT id, part, center, list_sum(list_transform(list_zip(v[part * 8 + 1:part * 8 + 8], c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM e, k),
+code AS (SELECT id, part, arg_min(center, (d, center)) AS center FROM x GROUP BY ALL),
+sc AS (SELECT x.id AS query, code.id AS item, round(sum(d), 6) + 0 AS score FROM code JOIN x USING (part, center) WHERE x.id % 20 = 0 AND x.id <> code.id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, item) AS rank FROM sc) SELECT query, item, score, rank FROM r WHERE rank <= 10""",
+    "pairwise_hamming_sample": SIGNS + """, o AS (SELECT word, row_number() OVER (ORDER BY id) - 1 AS no FROM s), n AS (SELECT count(*) AS n, count(*) * (count(*) - 1) // 2 AS total FROM o),
+st AS (SELECT min(c) AS step FROM (SELECT unnest(range(1099511628211 % total, 1099511628211 % total + 1000)) AS c, total FROM n) WHERE c > 0 AND gcd(c, total) = 1),
+ch AS (SELECT CASE WHEN total <= 4096 THEN i ELSE (1469598103934665603 % total + i * step) % total END AS r FROM n, st, range(4096) t(i) WHERE i < total),
+p AS (SELECT xor(a.word, b.word) AS x, (a.no * (2 * n - a.no - 1)) // 2 + b.no - a.no - 1 AS r FROM o a JOIN o b ON a.no < b.no, n),
+d AS (SELECT bit_count(x) AS d FROM p JOIN ch USING (r)) SELECT count(*) AS pairs, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS deviation, min(d)::BIGINT AS least, max(d)::BIGINT AS most FROM d""",
+    "bit_correlation_sample": SIGNS + """, o AS (SELECT id, word, row_number() OVER (ORDER BY id) - 1 AS no, count(*) OVER () AS n FROM s), t AS (SELECT unnest(range(300)) AS i),
+pick AS (SELECT id, word FROM o JOIN t ON no = i * n // least(n, 300) WHERE i < n),
+b AS (SELECT id, i AS bit, (word >> i) & 1 AS value FROM pick, (SELECT unnest(range(0, 64))::INT AS i)),
+m AS (SELECT x.bit AS a, y.bit AS b, avg((x.value & y.value)) AS pab, avg(x.value) AS pa, avg(y.value) AS pb FROM b x JOIN b y ON x.id = y.id AND x.bit < y.bit GROUP BY ALL),
+k AS (SELECT abs((pab - pa * pb) / sqrt(pa * (1 - pa) * pb * (1 - pb))) AS c FROM m WHERE pa > 0 AND pa < 1 AND pb > 0 AND pb < 1), l AS (SELECT list_sort(list(c)) AS l, avg(c) AS mean FROM k)
+SELECT round(mean, 6) AS mean, round(l[floor(0.95 * (len(l) - 1))::INT + 1], 6) AS p95, round(l[floor(0.99 * (len(l) - 1))::INT + 1], 6) AS p99, round(l[len(l)], 6) AS largest FROM l""",
+    "variable_bands": SIGNS + """, sp AS (SELECT b AS band, CASE WHEN b = 0 THEN 0 ELSE 8 + (b - 1) * 7 END AS lo, CASE WHEN b = 0 THEN 8 ELSE 7 END AS width FROM range(9) t(b)),
+c AS (SELECT DISTINCT query, s.id FROM a, s, sp WHERE query <> s.id AND bit_count(((xor(word, qword) >> lo) & ((1::BIGINT << width) - 1))::BIGINT) <= CASE WHEN band <= 1 THEN 1 ELSE 0 END)
+SELECT query, count(*) AS candidates FROM c GROUP BY 1""",
+    "kmeans_centers": BASE + """, x AS (SELECT (generate_subscripts(v, 1) - 1)::INT AS dim, unnest(v) AS x FROM e),
+c0 AS (SELECT dim, [quantile_cont(x, 1 / 6::DOUBLE), quantile_cont(x, 0.5), quantile_cont(x, 5 / 6::DOUBLE)] AS c FROM x GROUP BY 1),"""
+    + ",".join(f"""
+n{k} AS (SELECT dim, c, x, CASE WHEN abs(x - c[1]) <= abs(x - c[2]) AND abs(x - c[1]) <= abs(x - c[3]) THEN 1 WHEN abs(x - c[2]) <= abs(x - c[3]) THEN 2 ELSE 3 END AS own FROM x JOIN c{k} USING (dim)),
+c{k + 1} AS (SELECT dim, [coalesce(avg(x) FILTER (own = 1), any_value(c[1])), coalesce(avg(x) FILTER (own = 2), any_value(c[2])), coalesce(avg(x) FILTER (own = 3), any_value(c[3]))] AS c FROM n{k} GROUP BY 1)""" for k in range(2))
+    + " SELECT dim, round(c[1], 6) AS c0, round(c[2], 6) AS c1, round(c[3], 6) AS c2 FROM c2",
+    "packed_ternary_topk": _top("list_sum(list_transform(list_zip(w, v), lambda z: z[1] * CASE WHEN z[2] > 0.06 THEN 0.12 WHEN z[2] < -0.06 THEN -0.12 ELSE 0 END))") + TAIL,
+    "budgeted_probe_counts": PROBE_BUDGET,
     "cosine_topk": _top(COSINE) + TAIL,
     "dot_topk": _top("list_inner_product(w, v)") + TAIL,
     "euclid_topk": _top(L2) + TAIL,
@@ -321,7 +467,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item)
     "updated_aggregate_counters": BITS + " SELECT label, count(*) AS n, bit, sum(value)::BIGINT AS ones FROM b WHERE id % 30 <> 0 OR (id % 20 <> 0 AND id % 30 <> 0) GROUP BY label, bit",
     "routed_labels": BITS + f", g AS (SELECT label, bit, sum(value) >= ceil(count(*) * 0.5) AS on_ FROM b GROUP BY ALL), l AS (SELECT label, {BITWORD} AS w FROM g GROUP BY 1), d AS (SELECT query, label, bit_count(xor(w, qword))::BIGINT AS distance FROM a, l) SELECT query, label, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, label) AS r FROM d) WHERE r <= 3",
     "stable_split": "SELECT vec_id, ('0x' || sha256('salt' || chr(0) || vec_id)[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.2 AS held_out FROM embeddings",
-    "sparse_signature_words": SIGNS + " SELECT id, word FROM s",
     "ternary_planes": TERNARY + " SELECT id, nonzero, sign FROM y",
     "ternary_group_distance": TERNARY + " SELECT a.id, b.label, round(avg(bit_count(xor(a.nonzero, b.nonzero)) + 2 * bit_count(a.nonzero & b.nonzero & xor(a.sign, b.sign))), 6) AS distance FROM y a, y b WHERE a.id % 20 = 0 GROUP BY ALL",
 }
