@@ -47,9 +47,14 @@ def ranked_list(hits: DataFrame, query: str, item: str, score: str, k: int, high
     return ranked.where(F.col("rank") <= k).select("query", "item", "rank")
 
 
-def decayed(base: Column, age: Column, half_life: float, boost: float = 0.0, uses: Column | None = None) -> Column:
-    """base * exp(-age / half_life) + boost * ln(1 + uses)."""
-    return base * F.exp(-age / F.lit(float(half_life))) + (F.lit(boost) * F.log1p(uses) if uses is not None else F.lit(0.0))
+def decayed(base: Column, age: Column, half_life: float, boost: float = 0.0, uses: Column | None = None, cooldown: float = 0.0, own: Column | None = None, echo: float = 0.3) -> Column:
+    """base * exp(-age / half_life) + boost * ln(1 + uses).
+
+    What is younger than ``cooldown`` counts nothing yet, and what is the asker's ``own`` only with ``echo``.
+    """
+    score = base * F.exp(-age / F.lit(float(half_life))) + (F.lit(boost) * F.log1p(uses) if uses is not None else F.lit(0.0))
+    score = score if cooldown <= 0 else F.when(age < cooldown, F.lit(0.0)).otherwise(score)
+    return score if own is None else score * F.when(own, F.lit(float(echo))).otherwise(F.lit(1.0))
 
 
 def boolean_match(counts: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -95,13 +100,51 @@ def token_windows(docs: DataFrame, doc: str, tokens: Column, size: int = 1024, o
 
 
 def heading_paths(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, section, level, heading, body): Markdown sections by heading line; section 0 is what comes before any."""
-    marked = F.regexp_replace(F.col(text), r"(?m)^(#{1,6})[ \t]+(.+)$", "\u0001$1\u0002$2\u0003")
-    parts = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(marked, "\u0001")).alias("section", "part"))
-    level = F.when(F.col("section") == 0, 0).otherwise(F.length(F.substring_index("part", "\u0002", 1)))
-    rest = F.when(F.col("section") == 0, F.col("part")).otherwise(F.substring_index("part", "\u0002", -1))
-    split = F.split(rest, "\u0003")
-    return parts.select("doc", "section", level.alias("level"), F.when(F.col("section") > 0, F.trim(split[0])).alias("heading"), F.trim(F.when(F.col("section") > 0, split[1]).otherwise(rest)).alias("body")).where("section > 0 or body <> ''")
+    """(doc, section, level, heading, path, body): Markdown sections by heading line; section 0 is what comes before any.
+
+    ``path`` has the headings that a section stands under, its own last: those before it of a lower level than all
+    between. A # inside a fenced code block is no heading. An empty section 0 is left out; a null text gives no rows.
+    """
+    own = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(F.col(text), "\r?\n")).alias("line", "text")).where("doc is not null")
+    lines = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    fence = F.col("text").rlike(r"^ {0,3}(```|~~~)").cast("int")
+    fenced = own.withColumn("fences", F.sum(fence).over(lines)).withColumn("inside", (F.col("fences") - fence) % 2 == 1)
+    mark = F.regexp_extract("text", r"^(#{1,6})[ \t]+\S", 1)
+    level = F.when(~F.col("inside"), F.length(mark)).otherwise(0)
+    leveled = fenced.select("doc", "line", "text", level.alias("level")).withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(lines))
+    heads = leveled.where("level > 0").select("doc", "section", "level", F.trim(F.regexp_replace("text", r"^#{1,6}[ \t]+", "")).alias("heading"))
+    bodies = leveled.where("level = 0").groupBy("doc", "section").agg(F.trim(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]))).alias("body"))
+    # six columns hold the last heading of each level since one of a higher rank came
+    above = Window.partitionBy("doc").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col("level") == k, F.struct("section", "heading"))).over(above) for k in range(1, 7)]
+    placed = heads.select("doc", "section", "level", "heading", *[c.alias(f"_{k}") for k, c in enumerate(last, 1)])
+    cut_ = [F.greatest(*[F.coalesce(F.col(f"_{j}.section"), F.lit(0)) for j in range(1, k)], F.lit(0), F.lit(0)) for k in range(1, 7)]
+    path = F.array_compact(F.array(*[F.when((F.lit(k) <= F.col("level")) & (F.col(f"_{k}.section") > cut_[k - 1]), F.col(f"_{k}.heading")) for k in range(1, 7)]))
+    sections = placed.select("doc", "section", "level", "heading", path.alias("path"))
+    return sections.join(bodies, ["doc", "section"], "full").select("doc", "section", F.coalesce("level", F.lit(0)).alias("level"), "heading", F.coalesce("path", F.array().cast("array<string>")).alias("path"), F.coalesce("body", F.lit("")).alias("body")).where("section > 0 or body <> ''")
+
+
+def walked_edges(edges: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 64) -> DataFrame:
+    """(seed, source, target, kind, weight, depth): the edges that a walk from each seed takes, ``most`` of them in all.
+
+    Edges of a step are taken in the order of weight (highest first), kind, source and target, steps one after the
+    other, until the walk has its number; a node is entered at its least depth only.
+    """
+    order = [F.desc("weight"), "kind", "source", "target"]
+    # what one node gives a walk of that length at most; a walk never reads more of a node with very many edges
+    best = edges.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "kind", "target"))).where(F.col("r") <= most).drop("r")
+    seen = seeds.select("seed", F.col("seed").alias("node"))
+    frontier, left, all_ = seen, seeds.select("seed", F.lit(most).alias("room")), None
+    for d in range(1, depth + 1):
+        step = frontier.join(best, F.col("node") == F.col("source")).drop("node")
+        fresh = step.join(seen.select("seed", F.col("node").alias("target")), ["seed", "target"], "left_anti")
+        ranked = fresh.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).join(left, "seed").where(F.col("r") <= F.col("room"))
+        taken = stored(ranked.select("seed", "source", "target", "kind", "weight", F.lit(d).alias("depth")))
+        all_ = taken if all_ is None else all_.unionByName(taken)
+        frontier = taken.select("seed", F.col("target").alias("node")).distinct()
+        seen = seen.unionByName(frontier)
+        left = left.join(taken.groupBy("seed").agg(F.count("*").alias("n")), "seed", "left").select("seed", (F.col("room") - F.coalesce("n", F.lit(0))).alias("room"))
+    return all_
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int = 2, fan_out: int = 64) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import evaluation as E
 from siltstone.operators import ranking as R
+from siltstone.operators import reports as P
 from siltstone.plans import vector_queries as V
 from siltstone.session import load
 
@@ -113,7 +114,46 @@ def bootstrap_interval(spark, root):
     return E.paired_bootstrap(made, "ndcg_10", "ndcg_5", 500)
 
 
-QUERIES = {f.__name__: f for f in (query_metrics, recall_ndcg_mrr, graded_metrics, no_answer_metrics, latency_percentiles, dataset_problems, run_problems, candidate_coverage, score_statistics, retriever_grid, rrf_fusion, decay_score, bootstrap_interval)}
+def _timed_run(spark, root):
+    """The lexical lists, a query's latency being a tenth of a millisecond per hit."""
+    from pyspark.sql import Window
+
+    return _lexical_run(spark, root).withColumn("latency_ms", F.count("*").over(Window.partitionBy("query_id")) / 10.0)
+
+
+def evaluation_report(spark, root):
+    made = P.evaluate(_timed_run(spark, root), load(spark, root, "search_queries"), _graded(spark, root))
+    report = P.benchmark_report(made, "lists", "lexical", "hits", 0.0, 2000.0)
+    names = ("judged", "no_answer", "ignored", "evaluated", "run_queries", "recall_1", "recall_5", "recall_10", "recall_50", "ndcg_10", "mrr", "no_answer_accuracy", "latency_mean", "latency_p50", "latency_p95", "queries_per_second")
+    return report.select(*[F.round(c, 6).alias(c) if dict(report.dtypes)[c] == "double" else c for c in names])
+
+
+def report_problems(spark, root):
+    """Queries without a list make the counts differ, and no out-of-vocabulary share was given within 0 to 1."""
+    made = P.evaluate(_timed_run(spark, root), load(spark, root, "search_queries"), _graded(spark, root))
+    return P.report_problems(P.benchmark_report(made, "", "lexical", "hits", 1.5, 2000.0))
+
+
+def metric_values(spark, root):
+    """Mean metrics as rows."""
+    made = P.metric_rows(E.mean_metrics(E.query_metrics(_lexical_run(spark, root), _graded(spark, root), (5, 10))))
+    return made.select("metric", "k", F.round("value", 6).alias("value"))
+
+
+def candidate_lift(spark, root):
+    """How much better than chance 100 signatures cover the exact ten."""
+    one = P.candidate_lift(V.hamming_rerank_coverage(spark, root), V.embeddings(spark, root), 100)
+    return one.select(*[F.round(c, 4).alias(c) for c in one.columns])
+
+
+def mutation_sizes(spark, root):
+    """Chunks of vector records: those of documents divisible by 3 erased, those of lexical records put in."""
+    rows = load(spark, root, "vector_records").where("chunk_id is not null").select("chunk_id")
+    gone = load(spark, root, "chunks").where("doc_id % 3 = 0").select("chunk_id")
+    return P.mutation_sizes(rows, "chunk_id", gone, load(spark, root, "lexical_records").where("chunk_id is not null").select("chunk_id"))
+
+
+QUERIES = {f.__name__: f for f in (query_metrics, recall_ndcg_mrr, graded_metrics, no_answer_metrics, latency_percentiles, dataset_problems, run_problems, candidate_coverage, score_statistics, retriever_grid, rrf_fusion, decay_score, bootstrap_interval, evaluation_report, report_problems, metric_values, candidate_lift, mutation_sizes)}
 
 LABELS = V._top(V.COSINE) + """, run AS (SELECT query AS query_id, item AS item_id, rank FROM r WHERE rank <= 50),
 qrels AS (SELECT a.id AS query_id, b.id AS item_id, 1 AS grade FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id WHERE a.id % 20 = 0)"""
@@ -140,7 +180,22 @@ def _list(table: str, value: str, k: int, higher: bool = True) -> str:
 
 GRADED = "qrels AS (SELECT query_id, chunk_id AS item_id, greatest(0, 3 - floor(min(hamming_distance) / 16))::INT AS grade FROM signature_hits WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND hamming_distance IS NOT NULL GROUP BY ALL)"
 
+MODES = "qm AS (SELECT DISTINCT query_id, coalesce(answer_mode, 'JudgedRetrieval') AS mode FROM search_queries WHERE query_id IS NOT NULL)"
+REPORT = f"""WITH {GRADED.replace("qrels AS", "allq AS")}, {MODES},
+qrels AS (SELECT allq.* FROM allq WHERE query_id IN (SELECT query_id FROM qm WHERE mode = 'JudgedRetrieval')),
+run AS (SELECT query AS query_id, item AS item_id, rank FROM {_list("lexical_hits", "score", 50)} WHERE query IN (SELECT query_id FROM qm WHERE mode <> 'Ignore'))""" + _metrics(ALL) + """,
+la AS (SELECT query_id, count(*) / 10.0::DOUBLE AS ms FROM run GROUP BY 1), me AS (SELECT round(avg(recall_1), 6) AS recall_1, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(recall_50), 6) AS recall_50, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(reciprocal_rank), 6) AS mrr FROM pq),
+an AS (SELECT count(*) FILTER (mode = 'JudgedRetrieval') AS judged, count(*) FILTER (mode = 'NoAnswer') AS no_answer, count(*) FILTER (mode = 'Ignore') AS ignored, count(*) FILTER (mode <> 'Ignore') AS evaluated, round(count(*) FILTER (mode = 'NoAnswer' AND la.query_id IS NULL) / count(*) FILTER (mode = 'NoAnswer'), 6) AS no_answer_accuracy FROM qm LEFT JOIN la USING (query_id)),
+ti AS (SELECT count(*) AS run_queries, round(avg(ms), 6) AS latency_mean, quantile_disc(ms, 0.5) AS latency_p50, quantile_disc(ms, 0.95) AS latency_p95 FROM la)
+"""
+
 SQL = {
+    "evaluation_report": REPORT + "SELECT judged, no_answer, ignored, evaluated, run_queries, me.*, no_answer_accuracy, latency_mean, latency_p50, latency_p95, round(evaluated / 2.0, 6) AS queries_per_second FROM an, me, ti",
+    "report_problems": "SELECT unnest(['benchmark_name empty', 'oov_fraction not a share']) AS problem",
+    "metric_values": f"WITH {GRADED}, run AS (SELECT query AS query_id, item AS item_id, rank FROM {_list('lexical_hits', 'score', 50)})" + _metrics((5, 10)) + ", m AS (SELECT avg(recall_5) AS recall_5, avg(recall_10) AS recall_10, avg(ndcg_5) AS ndcg_5, avg(ndcg_10) AS ndcg_10, avg(reciprocal_rank) AS mrr FROM pq) SELECT unnest(['recall', 'recall', 'ndcg', 'ndcg', 'mrr']) AS metric, unnest([5, 10, 5, 10, NULL])::INT AS k, round(unnest([recall_5, recall_10, ndcg_5, ndcg_10, mrr]), 6) AS value FROM m",
+    "candidate_lift": "WITH cv AS (" + V.SQL["hamming_rerank_coverage"] + "), n AS (SELECT count(*) AS n FROM embeddings) SELECT round(avg(coverage), 4) AS coverage, round(100 / any_value(n), 4) AS expected, round(avg(coverage) / (100 / any_value(n)), 4) AS lift FROM cv, n",
+    "mutation_sizes": """WITH s AS (SELECT DISTINCT chunk_id FROM vector_records WHERE chunk_id IS NOT NULL), l AS (SELECT chunk_id FROM s WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE doc_id % 3 = 0 AND chunk_id IS NOT NULL)),
+u AS (SELECT chunk_id FROM l UNION SELECT chunk_id FROM lexical_records WHERE chunk_id IS NOT NULL) SELECT 'start' AS step, count(*) AS rows FROM s UNION ALL SELECT 'erased', count(*) FROM l UNION ALL SELECT 'upserted', count(*) FROM u""",
     "query_metrics": LABELS + _metrics(ALL) + " SELECT query_id, " + ", ".join(f"round({m}_{k}, 6) AS {m}_{k}" for m in ("recall", "ndcg") for k in ALL) + ", round(reciprocal_rank, 6) AS reciprocal_rank FROM pq",
     "recall_ndcg_mrr": LABELS + _metrics(ALL) + _means(ALL),
     "graded_metrics": f"WITH {GRADED}, run AS (SELECT query AS query_id, item AS item_id, rank FROM {_list('lexical_hits', 'score', 50)})" + _metrics((5, 10)) + _means((5, 10)),

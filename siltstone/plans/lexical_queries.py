@@ -7,11 +7,14 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.filters import predicate
 from siltstone.functions.offsets import token_offsets
 from siltstone.functions.text import bow_tokens, run_rows, space_terms, standard_token_rows, standard_tokens
 from siltstone.operators import lexical as L
 from siltstone.operators import ranking as R
+from siltstone.operators.engine import HashEmbedder, IndexRetriever, RetrievalEngine, vector_records
 from siltstone.operators.index import LexicalIndex
+from siltstone.operators.similarity import bm25f, minhash_search, ngram_similar, set_classes, shingles
 from siltstone.session import load, spread
 
 UP, LOW = string.ascii_uppercase, string.ascii_lowercase
@@ -200,7 +203,62 @@ def chunk_windows(spark, root):
 
 def heading_sections(spark, root):
     made = R.heading_paths(documents(spark, root).where("text is not null"), "doc", "text")
-    return made.groupBy("doc").agg(F.count("*").alias("sections"), F.max("level").alias("deepest"))
+    return made.where("section > 0").select("doc", "section", "level", "heading", F.concat_ws(" / ", "path").alias("path"))
+
+
+def engine_search(spark, root):
+    """An engine of its own analyzer, the stored index and no reranking, over English documents, with each query's limit."""
+    english = documents(spark, root).where("lang = 'en'").select("doc")
+    engine = RetrievalEngine(IndexRetriever(index(spark, root)), allowed=lambda hits: hits.join(english, "doc", "left_semi"))
+    return engine.search(asked(spark, root).select("query", "text", "hit_limit"))
+
+
+def chunk_embeddings(spark, root):
+    """Hashed bags of words of all chunks: their records' squared length and sum."""
+    made = vector_records(load(spark, root, "chunks"), HashEmbedder())
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    return made.select("chunk_id", "model_id", square.cast("long").alias("square"), total.cast("long").alias("total"))
+
+
+def trigram_vocabulary(spark, root):
+    q = terms(asked(spark, root), bow_tokens(F.col("text"))).where("length(term) >= 5")
+    found = ngram_similar(index(spark, root).terms.select("term"), q)
+    return found.select("asked", "term", F.round("overlap", 6).alias("overlap"))
+
+
+def _runs(spark, root):
+    # an explode of one array keeps the optimizer from finding the tokens again for each run
+    docs = spread(load(spark, root, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.explode(F.array(bow_tokens(F.col("text")))).alias("tokens"))
+    return docs.select("doc_id", shingles(F.col("tokens")).alias("runs"))
+
+
+def shingle_classes(spark, root):
+    """The class of every document with the same runs of five words as a lower one."""
+    return set_classes(_runs(spark, root), "doc_id", "runs").where("item <> representative").select("item", "representative")
+
+
+def shingle_similar(spark, root):
+    """Documents whose id is divisible by 20 against all, by runs of five words."""
+    docs = _runs(spark, root)
+    found = minhash_search(docs, docs.where("doc_id % 20 = 0").select("doc_id"), "doc_id", "runs")
+    return found.select("query", "item", F.round("overlap", 6).alias("overlap"))
+
+
+def bm25f_topk(spark, root):
+    """Documents' first line as their title, the rest as their body."""
+    docs = documents(spark, root)
+    parts = [docs.select("doc", F.lit(n).alias("field"), F.regexp_extract("text", p, 1).alias("text")) for n, p in (("title", r"^([^\n]*)"), ("body", r"(?s)^[^\n]*\n(.*)$"))]
+    fields = parts[0].unionByName(parts[1]).select("doc", "field", F.explode(bow_tokens(F.col("text"))).alias("term")).groupBy("doc", "field", "term").agg(F.count("*").alias("tf"))
+    scored = bm25f(fields, terms(asked(spark, root), bow_tokens(F.col("text"))))
+    return L.top_k(scored.withColumn("score", F.round("score", 6)), "query", "doc", "score", K)
+
+
+def structured_filter(spark, root):
+    """Chunks of some topics in a range of sizes, of documents that have a language and don't begin with a path."""
+    chunks = load(spark, root, "chunks").join(load(spark, root, "documents").select("doc_id", "lang", "source_uri"), "doc_id")
+    spec = ("all_of", [("any_of", [("in", "lang", ["en", "de", "fr"]), ("starts_with", "source_uri", "web")]), ("range", "source_range.byte_length", 200, 1200), ("not", ("eq", "metadata:facet", "none")), ("any_of", [("starts_with", "metadata:topic", "a"), ("range", "metadata:topic", "m", None)])])
+    return chunks.where(predicate(spec)).groupBy("lang").agg(F.countDistinct("chunk_id").alias("chunks"))
 
 
 def context_budget(spark, root):
@@ -214,7 +272,7 @@ def token_ranges(spark, root):
     return token_offsets(documents(spark, root), "doc", "text").groupBy("kind").agg(F.count("*").alias("tokens"), F.sum("byte_length").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (index_build, index_updated, bow_tokenize_counts, vocabulary_df, token_dictionary, postings_positions, corpus_stats_oov, bm25_topk, bm25_own_parameters, bm25_filtered_lang, bm25_metadata_filters, keyword_overlap_topk, bow_cosine_topk, standard_token_kinds, standard_tokenize_counts, standard_bm25_topk, hybrid_search, phrase_search, near_search, boolean_search, fuzzy_vocabulary, chunk_windows, heading_sections, context_budget, token_ranges)}
+QUERIES = {f.__name__: f for f in (index_build, index_updated, bow_tokenize_counts, vocabulary_df, token_dictionary, postings_positions, corpus_stats_oov, bm25_topk, bm25_own_parameters, bm25_filtered_lang, bm25_metadata_filters, keyword_overlap_topk, bow_cosine_topk, standard_token_kinds, standard_tokenize_counts, standard_bm25_topk, hybrid_search, phrase_search, near_search, boolean_search, fuzzy_vocabulary, chunk_windows, heading_sections, engine_search, chunk_embeddings, trigram_vocabulary, shingle_classes, shingle_similar, bm25f_topk, structured_filter, context_budget, token_ranges)}
 
 
 def _bow(text: str) -> str:
@@ -321,5 +379,38 @@ SELECT query, doc FROM h JOIN n USING (query) WHERE m = musts AND x = 0 AND o >
     "chunk_windows": f"""WITH d AS (SELECT doc_id::VARCHAR AS doc, {_bow("text")} AS t FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc, t, unnest(range(0, greatest(0, ceil((len(t) - 64) / 48))::BIGINT + 1)) AS win FROM d WHERE len(t) > 0)
 SELECT doc, win::INT AS "window", (win * 48)::INT AS start, len(t[win * 48 + 1:win * 48 + 64])::INT AS tokens, t[win * 48 + 1] AS first_token FROM w""",
+    "heading_sections": r"""WITH d AS (SELECT doc_id::VARCHAR AS doc, regexp_split_to_array(text, '\r?\n') AS l FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc, unnest(l) AS t, generate_subscripts(l, 1) AS line FROM d), f AS (SELECT *, regexp_matches(t, '^ {0,3}(```|~~~)')::INT AS fence FROM x),
+g AS (SELECT *, (sum(fence) OVER (PARTITION BY doc ORDER BY line) - fence) % 2 = 1 AS inside FROM f),
+h AS (SELECT doc, line, length(regexp_extract(t, '^(#{1,6})[ \t]+\S', 1)) AS level, trim(regexp_replace(t, '^#{1,6}[ \t]+', '')) AS heading FROM g WHERE NOT inside AND regexp_matches(t, '^#{1,6}[ \t]+\S')),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line)::INT AS section FROM h),
+p AS (SELECT a.doc, a.section, b.section AS up, b.level, b.heading FROM n a JOIN n b ON a.doc = b.doc AND b.section <= a.section AND b.level <= a.level AND (b.level < a.level OR b.section = a.section)
+  WHERE NOT EXISTS (SELECT 1 FROM n c WHERE c.doc = a.doc AND c.section > b.section AND c.section < a.section AND c.level <= b.level) AND (b.section = a.section OR b.level < a.level)),
+s AS (SELECT doc, section, string_agg(heading, ' / ' ORDER BY up) AS path FROM p GROUP BY ALL)
+SELECT n.doc, n.section, n.level::INT AS level, n.heading, path FROM n JOIN s USING (doc, section)""",
+    "engine_search": _sql_bm25(where="doc IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'en')", tail="SELECT r.query, doc, score, rank FROM r JOIN q ON q.query = r.query WHERE rank <= coalesce(hit_limit, 10)"),
+    "chunk_embeddings": f"""WITH ch AS (SELECT chunk_id, any_value(text) AS text FROM chunks WHERE chunk_id IS NOT NULL AND text <> '' GROUP BY 1),
+t AS (SELECT chunk_id, unnest({_bow("text")}) AS term FROM ch), h AS (SELECT chunk_id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS place, 1 - 2 * (('0x' || md5(term)[9:10])::INT % 2) AS s FROM t),
+v AS (SELECT chunk_id, place, sum(s) AS v FROM h GROUP BY ALL) SELECT chunk_id, 'hash' AS model_id, sum(v * v)::BIGINT AS square, sum(v)::BIGINT AS total FROM v GROUP BY 1""",
+    "trigram_vocabulary": BASE + """, a AS (SELECT DISTINCT term FROM qt WHERE length(term) >= 5), v AS (SELECT DISTINCT term FROM c),
+ga AS (SELECT term, list_distinct(list_transform(range(0, greatest(length(term) - 3, 0) + 1), lambda k: substring(term, (k + 1)::INT, 3))) AS g FROM a),
+gv AS (SELECT term, list_distinct(list_transform(range(0, greatest(length(term) - 3, 0) + 1), lambda k: substring(term, (k + 1)::INT, 3))) AS g FROM v),
+p AS (SELECT ga.term AS asked, gv.term, len(list_intersect(ga.g, gv.g)) AS c, len(ga.g) AS x, len(gv.g) AS y FROM ga, gv)
+SELECT asked, term, round(c / (x + y - c), 6) AS overlap FROM p WHERE c / (x + y - c) >= 0.5""",
+    "shingle_classes": f"""WITH d AS (SELECT doc_id, {_bow("text")} AS t FROM documents), s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(0, greatest(len(t) - 5, 0) + 1), lambda k: array_to_string(t[k + 1:k + 5], ' ')))) AS r FROM d WHERE len(t) > 0),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY r) AS rep FROM s) SELECT doc_id AS item, rep AS representative FROM m WHERE doc_id <> rep""",
+    "shingle_similar": f"""WITH d AS (SELECT doc_id, {_bow("text")} AS t FROM documents), s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(0, greatest(len(t) - 5, 0) + 1), lambda k: array_to_string(t[k + 1:k + 5], ' ')))) AS r FROM d WHERE len(t) > 0),
+m AS (SELECT doc_id, r, min(doc_id) OVER (PARTITION BY r) AS rep FROM s), cl AS (SELECT doc_id, r FROM m WHERE doc_id = rep),
+q AS (SELECT DISTINCT rep AS query FROM m WHERE doc_id % 20 = 0), x AS (SELECT doc_id, unnest(r) AS g FROM cl), n AS (SELECT doc_id, len(r) AS n FROM cl),
+p AS (SELECT query, b.doc_id AS item, count(*) AS c FROM q JOIN x a ON a.doc_id = query JOIN x b USING (g) WHERE b.doc_id <> query GROUP BY ALL)
+SELECT query, item, round(c / (u.n + w.n - c), 6) AS overlap FROM p JOIN n u ON u.doc_id = query JOIN n w ON w.doc_id = item WHERE c / (u.n + w.n - c) >= 0.8""",
+    "bm25f_topk": f"""WITH f AS (SELECT doc_id::VARCHAR AS doc, 'title' AS field, regexp_extract(text, '^([^\\n]*)', 1) AS x FROM documents UNION ALL SELECT doc_id::VARCHAR, 'body', regexp_extract(text, '(?s)^[^\\n]*\\n(.*)$', 1) FROM documents),
+t AS (SELECT doc, field, unnest({_bow("x")}) AS term FROM f), c AS (SELECT doc, field, term, count(*) AS tf FROM t GROUP BY ALL), {ASKED}, qt AS (SELECT query, unnest({_bow("text")}) AS term FROM q),
+w AS (SELECT query, term, count(*) AS times FROM qt GROUP BY ALL), le AS (SELECT doc, field, sum(tf) AS length FROM c GROUP BY ALL), mn AS (SELECT field, avg(length) AS mean FROM le GROUP BY 1),
+dfs AS (SELECT term, count(DISTINCT doc) AS df FROM c GROUP BY 1), nd AS (SELECT count(DISTINCT doc) AS docs FROM c),
+sc AS (SELECT query, doc, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * CASE field WHEN 'title' THEN 3 ELSE 1 END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM w JOIN c USING (term) JOIN dfs USING (term) JOIN le USING (doc, field) JOIN mn USING (field), nd GROUP BY ALL),
+{RANKED} SELECT query, doc, score, rank FROM r WHERE rank <= 10""",
+    "structured_filter": """SELECT lang, count(DISTINCT chunk_id) AS chunks FROM chunks JOIN (SELECT doc_id, lang, source_uri FROM documents) USING (doc_id)
+WHERE (lang IN ('en', 'de', 'fr') OR source_uri LIKE 'web%') AND source_range.byte_length BETWEEN 200 AND 1200 AND coalesce(metadata['facet'], '') <> 'none' AND (metadata['topic'] LIKE 'a%' OR metadata['topic'] >= 'm') GROUP BY 1""",
     "context_budget": _sql_bm25(tail="SELECT query, doc, rank, used FROM (SELECT query, doc, rank, sum(octet_length(encode(text))) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM (SELECT * FROM r WHERE rank <= 10) JOIN (SELECT doc_id::VARCHAR AS doc, text FROM documents) USING (doc)) WHERE used <= 4000"),
 }

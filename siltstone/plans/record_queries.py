@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.functions.names import has_content, name_or_default
 from siltstone.operators import ingest as I
 from siltstone.operators import ranking as R
 from siltstone.operators.lexical import metadata_match
@@ -91,6 +92,30 @@ def graph_walk(spark, root):
     return R.walk(there.unionByName(back), seeds, 2, 3)
 
 
+def graph_walk_edges(spark, root):
+    """The 20 edges of a walk from every 50th part."""
+    line = load(spark, root, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("weight"))
+    there = line.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"), F.lit("made_by").alias("kind"), "weight")
+    back = line.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey")).alias("target"), F.lit("makes").alias("kind"), "weight")
+    seeds = load(spark, root, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("seed"))
+    return R.walked_edges(there.unionByName(back), seeds, 2, 20)
+
+
+def parsed_kinds(spark, root):
+    """Documents by the kind that they name in any letter case, and by whether they have content."""
+    docs = load(spark, root, "documents")
+    return docs.groupBy(name_or_default("source_kind", F.col("kind")).alias("kind"), has_content(F.col("text")).alias("content")).agg(F.count("*").alias("rows"))
+
+
+def echo_scores(spark, root):
+    """Events' values decayed by a day, nothing within an hour of the newest, purchases counted as an own echo."""
+    events = load(spark, root, "events").where("value is not null and ts is not null")
+    newest = events.agg(F.max("ts").alias("newest"))
+    age = (F.unix_timestamp("newest") - F.unix_timestamp("ts")) / F.lit(3600.0)
+    made = events.crossJoin(F.broadcast(newest)).withColumn("s", R.decayed(F.col("value"), age, 24.0, cooldown=1.0, own=F.col("event_type") == "purchase"))
+    return made.groupBy("event_type").agg(F.round(F.sum("s"), 4).alias("score"))
+
+
 def event_windows(spark, root):
     made = windowed_counts(load(spark, root, "events").where("ts is not null"), "ts", "1 hour", "2 hours", "event_type")
     return made.select(F.col("window.start").alias("started"), "event_type", "rows")
@@ -113,7 +138,7 @@ def synthetic_classes(spark, root):
     return made["queries"].join(made["qrels"], "query_id", "left").groupBy("query_type").agg(F.count("*").alias("queries"), F.count("item_id").alias("judged"))
 
 
-QUERIES = {f.__name__: f for f in (latest_vector_records, stale_postings, replay_conflicts, upserted_records, manifest_diff, manifest_records, ownership_conflicts, snapshot_problems, erased_resources, metadata_filtered_chunks, metadata_functions, threads, graph_walk, event_windows, event_properties, report_rows, synthetic_classes)}
+QUERIES = {f.__name__: f for f in (latest_vector_records, stale_postings, replay_conflicts, upserted_records, manifest_diff, manifest_records, ownership_conflicts, snapshot_problems, erased_resources, metadata_filtered_chunks, metadata_functions, threads, graph_walk, graph_walk_edges, parsed_kinds, echo_scores, event_windows, event_properties, report_rows, synthetic_classes)}
 
 EDGES = """WITH l AS (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity::BIGINT) AS w FROM lineitem GROUP BY ALL),
 ed AS (SELECT 'p' || p AS source, 's' || s AS target, 'made_by' AS kind, w FROM l UNION ALL SELECT 's' || s, 'p' || p, 'makes', w FROM l),
@@ -140,6 +165,19 @@ SELECT problem, count(*) AS rows FROM p GROUP BY 1""",
     "metadata_functions": "SELECT DISTINCT chunk_id, list_contains(map_keys(metadata), 'facet') AS has_facet, metadata['facet'] AS facet, (len(map_keys(metadata)) - list_contains(map_keys(metadata), 'facet')::INT + 1)::INT AS keys, 'yes' AS seen FROM chunks WHERE metadata IS NOT NULL",
     "threads": "SELECT user_id, count(*) AS messages, arg_min(event_type, (ts, event_id)) AS first, arg_max(event_type, (ts, event_id)) AS last FROM events WHERE user_id IS NOT NULL GROUP BY 1",
     "graph_walk": EDGES,
+    "graph_walk_edges": """WITH l AS (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity::BIGINT)::BIGINT AS w FROM lineitem GROUP BY ALL),
+ed AS (SELECT 'p' || p AS source, 's' || s AS target, 'made_by' AS kind, w AS weight FROM l UNION ALL SELECT 's' || s, 'p' || p, 'makes', w FROM l),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, kind, target) AS r FROM ed) WHERE r <= 20),
+z AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_partkey % 50 = 0),
+one AS (SELECT * FROM (SELECT seed, source, target, kind, weight, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, kind, source, target) AS r FROM z JOIN b ON source = seed) WHERE r <= 20),
+n1 AS (SELECT seed, count(*) AS n FROM one GROUP BY 1), f AS (SELECT DISTINCT seed, target AS node FROM one),
+two AS (SELECT t.*, row_number() OVER (PARTITION BY t.seed ORDER BY weight DESC, kind, source, target) AS r FROM (SELECT f.seed, source, target, kind, weight FROM f JOIN b ON source = node) t WHERE target <> t.seed AND (t.seed, target) NOT IN (SELECT (seed, node) FROM f))
+SELECT seed, source, target, kind, weight, 1 AS depth FROM one UNION ALL SELECT seed, source, target, kind, weight, 2 FROM two JOIN n1 USING (seed) WHERE r <= 20 - n""",
+    "parsed_kinds": "SELECT CASE WHEN lower(kind) IN ('text', 'markdown', 'chat', 'code', 'structured', 'event', 'custom', 'unknown') THEN lower(kind) ELSE 'unknown' END AS kind, coalesce(text <> '', false) AS content, count(*) AS rows FROM documents GROUP BY ALL",
+    "echo_scores": """WITH e AS (SELECT *, (floor(epoch(max(ts) OVER ()))::BIGINT - floor(epoch(ts))::BIGINT) / 3600.0::DOUBLE AS age FROM events WHERE value IS NOT NULL AND ts IS NOT NULL)
+SELECT event_type, round(sum(CASE WHEN age < 1 THEN 0 ELSE value * exp(-age / 24) END * CASE WHEN event_type = 'purchase' THEN 0.3::DOUBLE ELSE 1 END), 4) AS score FROM e GROUP BY 1""",
+    "report_rows": """SELECT '{"event_type":"' || event_type || '","count":' || count(*) || '}' AS value FROM events WHERE value IS NOT NULL GROUP BY event_type""",
+    "synthetic_classes": "SELECT unnest(['exact', 'partial', 'graded', 'distractor_heavy', 'oov', 'no_answer', 'length_bias', 'repeated_term']) AS query_type, 50::BIGINT AS queries, unnest([50, 50, 50, 50, 0, 0, 50, 50])::BIGINT AS judged",
     "event_windows": "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS rows FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "event_properties": "SELECT event_type, coalesce(len(json_keys(props)), -1)::INT AS keys, count(*) AS rows FROM events GROUP BY ALL",
 }

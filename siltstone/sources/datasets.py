@@ -66,3 +66,58 @@ def load_encoder(weights_path: str, manifest_path: str) -> LinearEncoder:
     if len(data) != bits * width + bits:
         raise ValueError("weights don't have the manifest's size")
     return autoencoder(data[: bits * width].reshape(bits, width), data[bits * width :])
+
+
+def save_encoder(encoder: LinearEncoder, weights_path: str, manifest_path: str) -> None:
+    """What ``load_encoder`` reads."""
+    raw = np.concatenate([encoder.rows.ravel(), -encoder.thresholds]).astype("<f4").tobytes()
+    with open(weights_path, "wb") as f:
+        f.write(raw)
+    with open(manifest_path, "w") as f:
+        json.dump({"bits": len(encoder.rows), "dimension": encoder.rows.shape[1], "sha256": hashlib.sha256(raw).hexdigest()}, f)
+
+
+def load_matrix(spark: SparkSession, ids_path: str, matrix_path: str, width: int, sha256: str | None = None) -> DataFrame:
+    """(id, embedding): a file of little-endian float32 rows with a file of their ids, one a line.
+
+    The matrix is read in records of one row by the executors and numbered by its offset; a file whose size isn't a
+    whole number of rows, whose digest isn't the given one, or that has another number of rows than ids is an error.
+    """
+    from pyspark.sql import types as T
+
+    from siltstone.operators.ranking import numbered
+
+    if sha256 and file_digests(spark, matrix_path).first()["sha256"] != sha256:
+        raise ValueError("the matrix doesn't have the given digest")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(matrix_path)
+    size = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).getLen()
+    if size % (4 * width):
+        raise ValueError("the matrix has no whole number of rows")
+    records = spark.sparkContext.binaryRecords(matrix_path, 4 * width).zipWithIndex().map(lambda r: (r[1], r[0]))
+    raw = spark.createDataFrame(records, T.StructType([T.StructField("no", T.LongType()), T.StructField("raw", T.BinaryType())]))
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("raw").to_pylist()), "<f4")
+            yield pa.RecordBatch.from_arrays([b.column("no"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width), pa.array(x))], names=["no", "embedding"])
+
+    lines = spark.read.text(ids_path).select(F.col("value").alias("id"), F.monotonically_increasing_id().alias("at"))
+    ids = numbered(lines, ["at"], "no").select("no", "id")
+    if ids.count() != size // (4 * width):
+        raise ValueError("there are not as many ids as rows")
+    return raw.mapInArrow(rows, "no long, embedding array<float>").join(ids, "no").select("id", "embedding")
+
+
+def load_materialized(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """documents and queries (id, embedding) and qrels (query_id, item_id, grade) of a folder with a manifest.json that
+    names width and files; ids of the qrels that are in neither are an error."""
+    with open(f"{root}/manifest.json") as f:
+        manifest = json.load(f)
+    parts = {name: load_matrix(spark, f"{root}/{manifest[name]['ids']}", f"{root}/{manifest[name]['matrix']}", manifest["dimension"], manifest[name].get("sha256")) for name in ("documents", "queries")}
+    qrels = spark.read.schema("query_id string, item_id string, grade int").option("sep", "\t").csv(f"{root}/{manifest['qrels']}")
+    strange = qrels.join(parts["queries"].select(F.col("id").alias("query_id")), "query_id", "left_anti").union(qrels.join(parts["documents"].select(F.col("id").alias("item_id")), "item_id", "left_anti").select("query_id", "item_id", "grade"))
+    if strange.limit(1).count():
+        raise ValueError("qrels name ids that aren't there")
+    return parts | {"qrels": qrels}

@@ -1,4 +1,8 @@
+import pytest
+
 import __spark_entry__ as entry
+from siltstone.plans import catalog
+from tools.compare import difference, tables
 
 
 def test_entry_runs(spark):
@@ -7,3 +11,14 @@ def test_entry_runs(spark):
 
 def test_sql_has_a_query_each():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="session")
+def db(small):
+    return tables(small)
+
+
+@pytest.mark.parametrize("name", catalog.queries())
+def test_query_equals_its_sql(spark, small, db, name):
+    rows, wrong = difference(spark, db, small, catalog.queries()[name], catalog.oracle_sql().get(name))
+    assert wrong is None, wrong
