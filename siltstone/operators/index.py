@@ -17,8 +17,8 @@ TABLES = ("postings", "lengths", "terms")
 class LexicalIndex:
     """Three tables that all lexical searches read instead of the texts.
 
-    ``postings`` is (term, doc, tf) with positions where there are any, in the order of term and document, so that a
-    scan for a few terms skips the rest by the statistics of its files; ``lengths`` is (doc, token_count,
+    ``postings`` is (term, doc, tf) with positions where there are any, each file in the order of term and document, so
+    that a scan for a few terms skips the rest of it by its statistics; ``lengths`` is (doc, token_count,
     unique_count, norm), ``terms`` (term, df, occurrences).
     """
 
@@ -32,7 +32,7 @@ class LexicalIndex:
 
         The texts are read once, for these rows. A term that a third of all documents have is cut by document.
         """
-        ordered = rows.repartitionByRange(parallelism(rows.sparkSession), "term", "doc").sortWithinPartitions("term", "doc")
+        ordered = rows.repartition(parallelism(rows.sparkSession), F.col("term"), F.pmod(F.xxhash64("doc"), F.lit(16))).sortWithinPartitions("term", "doc")
         postings = stored(ordered)
         return LexicalIndex(postings, stored(_lengths(postings)), stored(_terms(postings)))
 

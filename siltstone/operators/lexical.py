@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import cut, parallelism
+
 K1, B = 1.5, 0.75
 
 
@@ -40,8 +42,6 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 def dictionary(counts: DataFrame) -> DataFrame:
     """(term, token_id, df): ids from 1 in the order of the terms, by ranges, so that no task holds all terms."""
-    from siltstone.session import cut, parallelism
-
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     ranged = cut(df.repartitionByRange(parallelism(df.sparkSession), "term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id()))
     before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -49,6 +49,12 @@ def dictionary(counts: DataFrame) -> DataFrame:
     return ranged.withColumn("local", local).join(before.select("part", "before"), "part").select("term", (F.col("before") + F.col("local")).alias("token_id"), "df")
 
 
+def _by_doc(postings: DataFrame) -> DataFrame:
+    """Postings by document, in as many parts as the session asks for: the rows are few, but each will meet many queries,
+    so they must not be gathered in fewer tasks for their size."""
+    return postings.repartition(parallelism(postings.sparkSession), "doc")
+
+
 def bm25(counts: DataFrame, stats: DataFrame, query_terms: DataFrame, allowed: DataFrame | None = None, terms: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query, doc, score): BM25 of every document that shares a term with a query.
 
@@ -65,10 +71,14 @@ def bm25(counts: DataFrame, stats: DataFrame, query_terms: DataFrame, allowed: D
     used = counts.select("term", "doc", "tf").join(asked, "term", "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df")) if terms is None else terms.select("term", "df").join(asked, "term", "left_semi")
     whole = corpus_stats(stats)
-    hits = wanted.join(df, "term").join(used, "term")
-    if allowed is not None:
-        hits = hits.join(allowed, [c for c in ("query", "doc") if c in allowed.columns], "left_semi")
-    hits = hits.join(stats.select("doc", "token_count"), "doc").crossJoin(F.broadcast(whole))
+    if allowed is not None and "query" not in allowed.columns:
+        used = used.join(allowed, "doc", "left_semi")
+    # by document from here on: what the queries make of the postings is added up where these are
+    by_doc = _by_doc(used).join(stats.select("doc", "token_count"), "doc")
+    hits = by_doc.join(wanted.join(df, "term"), "term")
+    if allowed is not None and "query" in allowed.columns:
+        hits = hits.join(allowed, ["query", "doc"], "left_semi")
+    hits = hits.crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1_ + 1) / (F.col("tf") + k1_ * (1 - b_ + b_ * F.col("token_count") / F.col("avgdl")))
     return hits.groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
@@ -76,7 +86,9 @@ def bm25(counts: DataFrame, stats: DataFrame, query_terms: DataFrame, allowed: D
 
 def keyword_overlap(counts: DataFrame, query_terms: DataFrame) -> DataFrame:
     """(query, doc, score): how many distinct terms a query and a document share."""
-    return query_terms.select("query", "term").distinct().join(counts.select("term", "doc"), "term").groupBy("query", "doc").agg(F.count("*").alias("score"))
+    asked = query_terms.select("query", "term").distinct()
+    used = counts.select("term", "doc").join(asked.select("term").distinct(), "term", "left_semi")
+    return _by_doc(used).join(asked, "term").groupBy("query", "doc").agg(F.count("*").alias("score"))
 
 
 def unit_weights(counts: DataFrame, norms: DataFrame | None = None) -> DataFrame:
@@ -95,8 +107,8 @@ def bow_cosine(counts: DataFrame, query_counts: DataFrame, norms: DataFrame | No
     known = query_counts.join((counts if terms is None else terms).select("term").distinct(), "term", "left_semi")
     weights = unit_weights(known.select(F.col("query").alias("doc"), "term", "tf")).select(F.col("doc").alias("query"), "term", F.col("weight").alias("w"))
     used = counts.select("term", "doc", "tf")
-    used = used if norms is None else used.join(query_counts.select("term").distinct(), "term", "left_semi")
-    return weights.join(unit_weights(used, norms), "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    used = used if norms is None else _by_doc(used.join(query_counts.select("term").distinct(), "term", "left_semi"))
+    return unit_weights(used, norms).join(weights, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
 def bow_cosine_top(counts: DataFrame, query_counts: DataFrame, docs: DataFrame, k: int, norms: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
@@ -126,11 +138,17 @@ def phrase_matches(positions: DataFrame, query_terms: DataFrame, slack: int = 0,
     asked = query_terms.select("term").distinct()
     spread = positions.join(asked, "term", "left_semi").select("doc", "term", F.explode("positions").alias("at"))
     sizes = query_terms.groupBy("query").agg(F.count("*").alias("size"))
-    wanted = query_terms.join(spread, "term").select("query", "place", "doc", "at")
     if not slack:
-        start = wanted.select("query", "doc", (F.col("at") - F.col("place")).alias("start"))
-        full = start.groupBy("query", "doc", "start").agg(F.count("*").alias("n"))
-        return full.join(sizes, "query").where("n = size").groupBy("query", "doc").agg(F.count("*").alias("hits"))
+        # the rarest term of a phrase says where it may stand; the other terms are looked up there
+        often = positions.join(asked, "term", "left_semi").groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
+        rarest = query_terms.join(often, "term").groupBy("query").agg(F.min(F.struct("n", "place", "term")).alias("r"), F.count("*").alias("known"))
+        rarest = rarest.join(sizes, "query").where("known = size").select("query", "size", "r.place", "r.term")
+        start = rarest.join(spread, "term").select("query", "size", "doc", (F.col("at") - F.col("place")).alias("start"), F.col("place").alias("own"))
+        others = start.join(query_terms, "query").where("place <> own").select("query", "size", "doc", "start", "term", (F.col("start") + F.col("place")).alias("at"))
+        found = others.join(spread, ["doc", "term", "at"], "left_semi").groupBy("query", "size", "doc", "start").agg(F.count("*").alias("n")).where("n = size - 1").select("query", "doc")
+        alone = start.where("size = 1").select("query", "doc")
+        return found.unionByName(alone).groupBy("query", "doc").agg(F.count("*").alias("hits"))
+    wanted = query_terms.join(spread, "term").select("query", "place", "doc", "at")
     reached = wanted.where("place = 0").select("query", "doc", "at", F.lit(0).alias("last"))
     all_ = reached
     for place in range(1, places):

@@ -202,25 +202,19 @@ def multiprobe(signatures: DataFrame, query_signatures: DataFrame, bits: int, k:
     A query's candidates are what it meets up to the first whole radius at which they are at least
     min(rows, max(least, k * multiplier)), itself included, else up to the largest radius.
 
-    A query that is full at one radius is joined with no bucket of the next, so that most of the probes, which are at
-    the largest radius, are only made for the queries that need them. ``width`` should be about the logarithm of the
-    rows, so that a bucket holds a few of them.
+    The largest radius, which has most of the probes, is only looked into for the queries that aren't full before.
+    ``width`` should be about the logarithm of the rows, so that a bucket holds a few of them.
     """
     postings = bucket_keys(signatures, bits, tables, width)
     asked = probes(query_signatures, bits, tables, width, radius)
     goal = F.least(F.col("n"), F.lit(max(least, k * multiplier)))
     rows = signatures.agg(F.count("*").alias("n"))
-    open_ = query_signatures.select(F.col("id").alias("query"))
-    met = full = None
-    for r in range(radius + 1):
-        step = asked.where(F.col("radius") == r).join(open_, "query", "left_semi").join(postings, ["table", "key"]).select("query", "id", F.lit(r).alias("radius"))
-        # a query is open until it is full, so it has met everything up to here
-        met = stored(step if met is None else met.unionByName(step))
-        done = met.groupBy("query").agg(F.countDistinct("id").alias("c")).crossJoin(F.broadcast(rows)).where(F.col("c") >= goal).select("query")
-        new = done.join(open_, "query", "left_semi").withColumn("stop", F.lit(r))
-        full = new if full is None else full.unionByName(new)
-        if r < radius:
-            open_ = open_.join(done, "query", "left_anti")
+    near = stored(asked.where(F.col("radius") < max(radius, 1)).join(postings, ["table", "key"]).select("query", "id", "radius"))
+    first = near.groupBy("query", "id").agg(F.min("radius").alias("radius")).groupBy("query", "radius").agg(F.count("*").alias("c"))
+    upto = first.withColumn("c", F.sum("c").over(Window.partitionBy("query").orderBy("radius"))).crossJoin(F.broadcast(rows))
+    full = upto.where(F.col("c") >= goal).groupBy("query").agg(F.min("radius").alias("stop"))
+    far = asked.where((F.col("radius") == radius) & F.lit(radius > 0)).join(full, "query", "left_anti").join(postings, ["table", "key"]).select("query", "id", "radius")
+    met = near.join(full, "query", "left").where("stop is null or radius <= stop").select("query", "id").unionByName(far.select("query", "id"))
     stop = query_signatures.select(F.col("id").alias("query")).join(full, "query", "left").select("query", F.coalesce("stop", F.lit(radius)).alias("stop"))
     scored = met.select("query", "id").distinct().join(signatures, "id").join(query_signatures.select(F.col("id").alias("query"), F.col("words").alias("qwords")), "query")
     scored = scored.select("query", F.col("id").alias("item"), hamming(F.col("words"), F.col("qwords"), (bits + 63) // 64).cast("long").alias("distance")).where("query <> item")

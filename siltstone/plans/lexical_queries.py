@@ -64,8 +64,11 @@ def stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def index_build(spark, root):
-    """Both indexes built anew: what the tables of each hold."""
-    parts = [build_index(spark, root, t).terms.agg(F.lit(t).alias("tokenizer"), F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("occurrences").alias("tokens")) for t in ("bow", "standard")]
+    """Both indexes built anew, for the searches after it as well: what the tables of each hold."""
+    parts = []
+    for t in ("bow", "standard"):
+        own = INDEXES[spark.sparkContext.applicationId, root, t] = build_index(spark, root, t)
+        parts.append(own.terms.agg(F.lit(t).alias("tokenizer"), F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("occurrences").alias("tokens")))
     return parts[0].unionByName(parts[1])
 
 
