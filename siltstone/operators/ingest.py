@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,28 @@ def messages_to_threads(messages: DataFrame, thread: str, order: list[str], text
     """(thread, messages, first, last): counts and ends of ordered messages, without gathering a thread in one row."""
     key = F.struct(*order, F.col(text).alias("text"))
     return messages.where(F.col(thread).isNotNull()).groupBy(thread).agg(F.count("*").alias("messages"), F.min(key)["text"].alias("first"), F.max(key)["text"].alias("last"))
+
+
+def thread_messages(messages: DataFrame, thread: str, order: list[str]) -> DataFrame:
+    """Adds ``position``, from 1, to the messages of each thread in order; rows without a thread are left out.
+
+    The numbers are running sums over ranges, so a thread that has a third of all messages is cut like any other.
+    """
+    from siltstone.operators.ranking import running_sum
+
+    own = messages.where(F.col(thread).isNotNull())
+    return running_sum(own, [thread], [F.col(c) for c in order], F.lit(1).cast("long"), "position")
+
+
+def content_classes(units: DataFrame, unit: str, keys: list[str], text: str) -> DataFrame:
+    """(unit, keys, digest, first, copies): units by their content key, which is some columns and the SHA-256 of the text.
+
+    ``first`` is the lowest unit of the same key, ``copies`` how many have it; null texts and keys are values like
+    others. Counts are added up before the shuffle, and the join has nothing after it.
+    """
+    keyed = units.select(F.col(unit).alias("unit"), *keys, F.sha2(F.col(text), 256).alias("digest"))
+    names = [*keys, "digest"]
+    classes = keyed.groupBy(*names).agg(F.min("unit").alias("first"), F.count("*").alias("copies"))
+    a, b = keyed.alias("a"), classes.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
+    return a.join(b, reduce(lambda x, y: x & y, same)).select("a.unit", *[f"a.{c}" for c in names], "b.first", "b.copies")

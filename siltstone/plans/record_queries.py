@@ -83,6 +83,16 @@ def threads(spark, root):
     return I.messages_to_threads(load(spark, root, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
+def thread_positions(spark, root):
+    """Every event's place among those of its user."""
+    return I.thread_messages(load(spark, root, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "position")
+
+
+def content_copies(spark, root):
+    """Documents whose kind and text another document has as well."""
+    return I.content_classes(load(spark, root, "documents"), "doc_id", ["kind"], "text").where("copies > 1").select("unit", "digest", "first", "copies")
+
+
 def graph_walk(spark, root):
     """From every 20th part over its heaviest suppliers to their heaviest parts."""
     line = load(spark, root, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("weight"))
@@ -138,7 +148,7 @@ def synthetic_classes(spark, root):
     return made["queries"].join(made["qrels"], "query_id", "left").groupBy("query_type").agg(F.count("*").alias("queries"), F.count("item_id").alias("judged"))
 
 
-QUERIES = {f.__name__: f for f in (latest_vector_records, stale_postings, replay_conflicts, upserted_records, manifest_diff, manifest_records, ownership_conflicts, snapshot_problems, erased_resources, metadata_filtered_chunks, metadata_functions, threads, graph_walk, graph_walk_edges, parsed_kinds, echo_scores, event_windows, event_properties, report_rows, synthetic_classes)}
+QUERIES = {f.__name__: f for f in (latest_vector_records, stale_postings, replay_conflicts, upserted_records, manifest_diff, manifest_records, ownership_conflicts, snapshot_problems, erased_resources, metadata_filtered_chunks, metadata_functions, threads, thread_positions, content_copies, graph_walk, graph_walk_edges, parsed_kinds, echo_scores, event_windows, event_properties, report_rows, synthetic_classes)}
 
 EDGES = """WITH l AS (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity::BIGINT) AS w FROM lineitem GROUP BY ALL),
 ed AS (SELECT 'p' || p AS source, 's' || s AS target, 'made_by' AS kind, w FROM l UNION ALL SELECT 's' || s, 'p' || p, 'makes', w FROM l),
@@ -164,6 +174,8 @@ SELECT problem, count(*) AS rows FROM p GROUP BY 1""",
     "metadata_filtered_chunks": "WITH f AS (SELECT DISTINCT metadata_filters AS mf FROM search_queries WHERE metadata_filters IS NOT NULL), c AS (SELECT metadata, count(DISTINCT chunk_id) AS n FROM chunks GROUP BY 1) SELECT array_to_string(list_transform(mf, lambda f: concat_ws('=', f.filter_key, f.filter_value)), '&') AS filters, sum(n)::BIGINT AS chunks FROM f, c WHERE len(list_filter(mf, lambda f: coalesce(metadata[f.filter_key], '') <> f.filter_value)) = 0 GROUP BY 1",
     "metadata_functions": "SELECT DISTINCT chunk_id, list_contains(map_keys(metadata), 'facet') AS has_facet, metadata['facet'] AS facet, (len(map_keys(metadata)) - list_contains(map_keys(metadata), 'facet')::INT + 1)::INT AS keys, 'yes' AS seen FROM chunks WHERE metadata IS NOT NULL",
     "threads": "SELECT user_id, count(*) AS messages, arg_min(event_type, (ts, event_id)) AS first, arg_max(event_type, (ts, event_id)) AS last FROM events WHERE user_id IS NOT NULL GROUP BY 1",
+    "thread_positions": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS position FROM events WHERE user_id IS NOT NULL",
+    "content_copies": "WITH d AS (SELECT doc_id, kind, sha256(text) AS digest FROM documents), c AS (SELECT kind, digest, min(doc_id) AS first, count(*) AS copies FROM d GROUP BY ALL) SELECT doc_id AS unit, d.digest, first, copies FROM d JOIN c ON d.kind IS NOT DISTINCT FROM c.kind AND d.digest IS NOT DISTINCT FROM c.digest WHERE copies > 1",
     "graph_walk": EDGES,
     "graph_walk_edges": """WITH l AS (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity::BIGINT)::BIGINT AS w FROM lineitem GROUP BY ALL),
 ed AS (SELECT 'p' || p AS source, 's' || s AS target, 'made_by' AS kind, w AS weight FROM l UNION ALL SELECT 's' || s, 'p' || p, 'makes', w FROM l),
