@@ -1,9 +1,10 @@
 import json
 
 from siltstone.operators import ingest as I
+from siltstone.operators.evaluation import dataset_problems
 from siltstone.sources import datasets
 from siltstone.sources.store import VersionedStore
-from siltstone.sources.synthetic import clustered_vectors, lexical_dataset, stub_run
+from siltstone.sources.synthetic import clustered_vectors, lexical_dataset, noisy_queries, random_vectors, stub_dataset, stub_run
 from siltstone.streaming.upserts import upsert_stream
 
 
@@ -156,5 +157,14 @@ def test_dataset_files(spark, tmp_path):
 def test_synthetic_inputs_are_deterministic(spark):
     a, b = (lexical_dataset(spark, 20, 16)["queries"].orderBy("query_id").collect() for _ in range(2))
     assert a == b and len(a) == 16
+    by_class = {}
+    for r in a:
+        by_class.setdefault(r["query_type"], set()).add(len(r["text"].split()))
+    assert {k: sorted(v) for k, v in by_class.items()} == {"exact": [7], "partial": [3], "graded": [2], "distractor_heavy": [4], "oov": [1], "no_answer": [1], "length_bias": [1], "repeated_term": [2]}
     assert clustered_vectors(spark, 10, 8).count() == 10
+    vectors = random_vectors(spark, 40, 8)
+    near = noisy_queries(vectors, 8, 10).join(vectors.withColumnRenamed("id", "target").withColumnRenamed("embedding", "v"), "target").collect()
+    assert len(near) == 4 and all(sum(x * y for x, y in zip(r["embedding"], r["v"])) > 0.9 for r in near)
+    stub = stub_dataset(spark)
+    assert dataset_problems(stub["corpus"], stub["queries"], stub["qrels"]).count() == 0
     assert stub_run(spark.createDataFrame([("q",)], "query_id string"), lexical_dataset(spark, 20, 1)["corpus"], 5).count() == 5
