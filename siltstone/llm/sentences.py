@@ -23,9 +23,8 @@ MARKS = ".!?…。！？｡।॥۔؟։።"
 CLOSERS = "\"'”’»)]」』）】›"
 PAIRS = {"“": "”", "«": "»", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "‹": "›", "„": "“", "‘": "’"}
 
-#: What bounds the model: a context counts by itself if it makes up at least one in so many of all, and else with
-#: the shapes of its outer words, then of all its words. Nothing is left out of the counts.
-MODEL_CONTEXTS = 300_000
+#: Scores that a process remembers at once; the model itself has no bound by default, see ``fit``.
+REMEMBERED = 300_000
 #: Tokens seen less often than this in the contexts are known by their shape only.
 KNOWN = 5
 ROUNDS = 6
@@ -503,7 +502,7 @@ class HiddenEvents:
         """Log probabilities of the gap's surroundings without and with a boundary."""
         key = (a, b, c, r1, r2)
         if key not in self.memo:
-            if len(self.memo) > MODEL_CONTEXTS:
+            if len(self.memo) > REMEMBERED:
                 self.memo.clear()
             self.memo[key] = self._scores(*key)
         return self.memo[key]
@@ -604,16 +603,18 @@ def _coarser(counted: DataFrame, columns: tuple[str, ...], least: float) -> Data
     return named.groupBy(*FIELDS, "sure").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, text: str = "text", size: int = MODEL_CONTEXTS) -> HiddenEvents:
+def fit(texts: DataFrame, text: str = "text", size: float = math.inf) -> HiddenEvents:
     """The model of a corpus, from counts over all its texts.
 
-    What is rarer than one in ``size`` counts with the shape of its words instead (pairs of words by their single
-    words, words as one rare word), so that the model holds at most a few times ``size`` counts however large the
-    corpus is, and all of the text is in them.
+    Every context counts with its own words, and what a word is known by depends on its own count alone, never on how
+    large the corpus is; the driver and each worker hold one entry per distinct context and pair of words. Where
+    ``size`` is given, the model is an approximate one of at most a few times ``size`` counts: what is rarer than one
+    in ``size`` counts with the shape of its words instead (pairs of words by their single words, words as one rare
+    word).
     """
     found = spread(texts.select(F.col(text).alias("text")).where("text is not null")).mapInArrow(_count_task, COUNT)
     counted = stored(found.groupBy("kind", *FIELDS, "sure").agg(F.sum("n").alias("n")))
-    totals = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()} if size < math.inf else {}
     own = counted.where(F.col("kind") == CONTEXT)
     for columns in (("a", "r2"), ("b", "r1")):
         if totals.get(CONTEXT, 0) > size:
@@ -643,7 +644,7 @@ def sentences(documents: DataFrame, doc: str = "doc_id", text: str = "text", mod
     """
     kind = documents.schema[doc].dataType
     model = model or fit(documents, text)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # a few times MODEL_CONTEXTS counts at most
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # grows with the distinct contexts
     out = T.StructType([T.StructField("doc", kind), T.StructField("sentence", T.LongType()), T.StructField("sent_start", T.LongType()), T.StructField("sent_end", T.LongType()), T.StructField("sentence_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

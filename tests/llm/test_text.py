@@ -188,6 +188,16 @@ def test_rare_contexts_count_with_their_shapes(spark):
     assert sum(small.words.all.values()) == sum(full.words.all.values()) == 7 * 49
 
 
+def test_the_model_depends_on_no_size_of_the_corpus(spark):
+    names = ["".join(rng) for rng in product("abcdefg", repeat=2)]
+    texts = [f"Word{k} alpha beta{k}. Next{k[0]} gamma. Done delta{k}." for k in names]
+    few, many = (fit(spark.createDataFrame([(t,) for t in [*texts, *["\n\n".join(["Go on. " * 10] * 1000)] * n]], "text string").repartition(8)) for n in (1, 32))
+    assert many.total > 5 * 300_000  # so many contexts that those seen once are rarer than one in 300,000
+    assert ((("<n>",), "Nexta") in many.next) and set(many.events) == set(few.events) and set(many.next) == set(few.next)
+    for x in ("all", "pair", "first", "first_two", "last", "last_two"):
+        assert set(getattr(many.words, x)) == set(getattr(few.words, x)), x
+
+
 def test_sentences_edge_rows(spark):
     df = spark.createDataFrame([(1, "A b. C d."), (1, "A b. C d."), (2, None), (3, ""), (4, " \n\n "), (5, "🙂 x"), (6, "# Head\ntext")], "doc_id long, text string").selectExpr("*", "'clash' as sentence")
     got = {}
