@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -172,31 +174,36 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = Non
     weighted = weighted.select("doc", "source", "language", "topic", "tokens", "hash", "row", whole.cast("long").alias("whole"), F.greatest(part - whole, F.lit(0.0)).alias("rest"), "cap")
     summed = running_sum(weighted, CELL, [F.col("hash"), F.col("row")], F.col("tokens"), "upto")
     summed = stored(summed.join(cells.select(*CELL, (F.col("n")).alias("n")), CELL).select("doc", *CELL, "tokens", "whole", "cap", "upto", "rest", (F.col("rest") * F.col("n")).alias("wanted")))
-    drawn = summed.join(_ends(summed, driver_cells), CELL, "left")
+    drawn = summed.join(_ends(summed), CELL, "left")
     taken = ((F.col("rest") > 0) & (F.col("upto") <= F.coalesce("end", F.lit(0).cast("long")))).cast("long")
     sample = stored(drawn.select("doc", *CELL, "tokens", F.least(F.col("whole") + taken, F.col("cap")).alias("copies")))
     mixed = sample.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     return sample.withColumnRenamed("doc", doc), _report(sources, goal, mixed, change)
 
 
-def _ends(summed: DataFrame, driver_cells: int) -> DataFrame:
+def _ends(summed: DataFrame) -> DataFrame:
     """(source, language, topic, end): the running sum up to which a cell's documents get one more copy.
 
     A cell's wanted tokens lie between two running sums. Of these the one is taken that keeps the sum over the cells
-    of the source so far nearest to what they want, so that a source ends within half of a document of its goal; with
-    more cells than the driver takes, the nearer one of each cell.
+    of the source so far nearest to what they want, so that a source ends within half of a document of its goal. The
+    cells of a source stream through one task in sorted order, however many there are.
     """
     ends = summed.where("rest > 0").groupBy(*CELL).agg(F.max("wanted").alias("wanted"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("wanted"), F.col("upto"))), F.lit(0).cast("long")).alias("low"), F.max("upto").alias("most"), F.min(F.when(F.col("upto") > F.col("wanted"), F.col("upto"))).alias("high"))
     ends = ends.select(*CELL, "wanted", "low", F.coalesce("high", "most").alias("high"))
-    if ends.count() > driver_cells:
-        return ends.select(*CELL, F.when(F.col("high") - F.col("wanted") < F.col("wanted") - F.col("low"), F.col("high")).otherwise(F.col("low")).alias("end"))
-    own = ends.orderBy("source", F.desc(F.col("high") - F.col("low")), "language", "topic").toArrow()  # small steps last
-    chosen, debt, last = [], 0.0, None
-    for s, wanted, low, high in zip(*(own[c].to_pylist() for c in ("source", "wanted", "low", "high"))):
-        debt = wanted + (debt if s == last else 0.0)
-        chosen.append(high if high - debt < debt - low else low)
-        debt, last = debt - chosen[-1], s
-    return summed.sparkSession.createDataFrame(own.select(CELL).append_column("end", pa.array(chosen, pa.int64())), "source string, language string, topic string, end long")
+    own = ends.repartition("source").sortWithinPartitions("source", F.desc(F.col("high") - F.col("low")), "language", "topic")  # small steps last
+    return own.mapInArrow(_settle, "source string, language string, topic string, end long")
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends of sorted cells; what a cell leaves open goes on to the next one of its source, also in later batches."""
+    debt, last = 0.0, None
+    for batch in batches:
+        chosen = []
+        for s, wanted, low, high in zip(*(batch.column(c).to_pylist() for c in ("source", "wanted", "low", "high"))):
+            debt = wanted + (debt if s == last else 0.0)
+            chosen.append(high if high - debt < debt - low else low)
+            debt, last = debt - chosen[-1], s
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CELL), pa.array(chosen, pa.int64())], names=[*CELL, "end"])
 
 
 def _weights(cells: DataFrame, goals: DataFrame, names: list[str], goal: np.ndarray, cap: np.ndarray, driver_cells: int, rounds: int) -> tuple[DataFrame, float]:

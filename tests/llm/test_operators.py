@@ -3,13 +3,14 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import fusion
 from siltstone.llm.distinctive import current_records, distinctive_terms
 from siltstone.llm.frequency import current_postings, term_frequencies
-from siltstone.llm.mixing import default_total, mix, rake, rake_table
+from siltstone.llm.mixing import _settle, default_total, mix, rake, rake_table
 from siltstone.llm.neighbours import current_vectors, hilbert_keys, nearest
 from siltstone.llm.packing import Plan, pack
 from siltstone.llm.splitting import split_oversized
@@ -337,3 +338,21 @@ def test_mix_reaches_targets_within_its_caps(spark):
     assert sample.count() == 2042 and sample.where("copies > 4 or (source = 'big-one' and copies > 1)").count() == 0
     assert mix(df.limit(0), targets, topics)[1].where("mixed_tokens > 0").count() == 0
     assert mix(df, targets.limit(0))[1].count() == 0
+
+
+def test_what_a_cell_leaves_open_goes_on_in_the_next_batch():
+    rows = [("p", "en", f"t{k}", 4.0, 0, 10) for k in range(5)] + [("q", "en", "t0", 4.0, 0, 10)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("source", "language", "topic", "wanted", "low", "high"), r)) for r in rows])
+    ends = [x for b in _settle(iter([batch.slice(k, 1) for k in range(6)])) for x in b.column("end").to_pylist()]
+    assert ends == [0, 10, 0, 10, 0, 0] == [x for b in _settle(iter([batch])) for x in b.column("end").to_pylist()]
+
+
+def test_mix_is_the_same_for_any_number_of_cells(spark):
+    df = spark.createDataFrame([(i, "pq"[i % 2], ["en", "fr", "de"][i % 3], "x" * (1 + i * 37 % 199)) for i in range(1500)], "doc_id long, source string, lang string, text string").repartition(4, "doc_id").localCheckpoint()
+    targets = spark.createDataFrame([("p", 0.6, 1), ("q", 0.4, 3)], "source string, target_share double, max_repeats int")
+    topics = spark.createDataFrame([(i, f"t{i % 41}") for i in range(1500)], "doc_id long, topic string")
+    (few, report), (many, other) = (mix(df, targets, topics, total=90_000, driver_cells=n, rounds=2) for n in (10_000, 0))
+    assert few.orderBy("doc_id").collect() == many.orderBy("doc_id").collect()
+    columns = ("source", "goal_tokens", "mixed_tokens", "on_goal")
+    assert report.select(*columns).orderBy("source").collect() == other.select(*columns).orderBy("source").collect()
+    assert all(abs(r["mixed_tokens"] - r["goal_tokens"]) <= 100 for r in other.collect())
