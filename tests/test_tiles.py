@@ -6,7 +6,7 @@ from siltstone.plans import lexical_queries as Q
 from tools.compare import difference, tables
 
 #: Queries that ask all documents at once, from their tiles instead of the stored index.
-TILED = ["bm25_topk", "bm25_filtered_lang", "bow_cosine_topk", "engine_search", "phrase_search", "bm25_metadata_filters", "bm25f_topk", "keyword_overlap_topk", "bm25_own_parameters", "boolean_search", "context_budget"]
+TILED = ["bm25_topk", "bm25_filtered_lang", "bow_cosine_topk", "engine_search", "phrase_search", "bm25_metadata_filters", "bm25f_topk", "keyword_overlap_topk", "bm25_own_parameters", "boolean_search", "context_budget", "near_search"]
 
 
 #: What is said of a document or query of two rows is left open in these.
